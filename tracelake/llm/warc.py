@@ -156,10 +156,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     home = F.max(F.when(F.col("real"), F.col("off"))).over(line.rowsBetween(W.unboundedPreceding, 0))
     split = done.withColumn("home", home).where("home is not null")
     broken = split.where("real and not whole").select("file", F.col("off").alias("home"))
-    parts = split.join(broken, ["file", "home"], "left_semi")
+    parts = stored(split.join(broken, ["file", "home"], "left_semi").select("file", "split", "k", "home", "off", "real", "id", "type", "refers", "said", "said_bytes", "span"), "broken")
     # pieces that look whole hold their bytes no longer, so they are read again by offset with their text
-    text = _texts(split_text, parts.select("file", "split", "k", "home", "off", "real", "id", "type", "refers", "said", "said_bytes", "span"))
-    return clear.union(text).select(
+    if not parts.isEmpty():
+        clear = clear.union(_texts(split_text, parts))
+    return clear.select(
         F.when(F.col("id") != "", F.col("id").cast("long")).alias("page_id"),
         F.when(F.col("type") == "revisit", F.col("said_bytes").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         F.when(F.col("type") == "revisit", F.col("said")).otherwise(F.col("digest")).alias("payload_digest"),
