@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelake.llm.common import small_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 
@@ -124,7 +126,7 @@ class Vocabulary:
             longest = max(1, int(lengths[order[at]]))
             top = longest + (longest >> 3)
             to = at + int(np.searchsorted(lengths[order[at:]], top, "right"))
-            to = min(max(to, at + 1), at + max(1, 2_000_000 // (top + 1)))
+            to = min(max(to, at + 1), at + max(1, 1_000_000 // (top + 1)))
             own = order[at:to]
             got, num = self._solve([chunks[k] for k in own], lengths[own])
             counts[own] = num
@@ -255,7 +257,7 @@ class Vocabulary:
         return out
 
 
-def _groups(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def _groups(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Slices of a batch with about so many characters, or one text."""
     start, size = 0, 0
     for k, t in enumerate(texts):
@@ -289,6 +291,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", ids_col: str = "ids", mod
                 ends = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32(), mask=np.append(own.is_null().to_numpy(zero_copy_only=False), False))
                 yield pa.record_batch([*part.columns, pa.ListArray.from_arrays(ends, pa.array(ids))], names=[*batch.schema.names, ids_col])
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
@@ -311,4 +314,5 @@ def decode(docs: DataFrame, *, ids_col: str = "ids", text_col: str = "decoded",
                 texts += v.decode(part, counts[s : s + 500])
             yield pa.record_batch([*batch.columns, pa.array([None if g else t for g, t in zip(gone, texts, strict=True)], pa.string())], names=[*batch.schema.names, text_col])
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import stored
+from tracelake.llm.common import small_batches, stored
 from tracelake.llm.graph import components, forest
 
 SEED = 42
@@ -53,10 +53,11 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.record_batch([batch.column(0), pa.array(found)], names=[id_col, "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} long, fp long")
 
 
-def trie_links(values: np.ndarray, errors: int, other: np.ndarray | None = None, start: int = 0, block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_links(values: np.ndarray, errors: int, other: np.ndarray | None = None, start: int = 0, block: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of sorted distinct ``values`` that differ in ``errors`` bits or fewer.
 
     Nodes are ranges of the sorted array at a depth. ``start``: bits that surely agree, so that one node for

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import mix, rolling, stored
+from tracelake.llm.common import mix, rolling, small_batches, stored
 
 _P = np.uint64(0x100000001B3 * 0x9E3779B1 & 0xFFFFFFFFFFFFFFFF | 1)
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
@@ -34,7 +34,7 @@ _powers: list[np.ndarray] = []
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 3 << 19)
         inverse = np.uint64(pow(int(_P), -1, 1 << 64))
         _powers[:] = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(size, p, np.uint64)))) for p in (_P, inverse)]
     return _powers[0], _powers[1]
@@ -147,7 +147,7 @@ def _opened(body: bytes, id_col: str, text_col: str):
     return batch, ids, Words(batch.column(text_col).cast(pa.binary()).to_pylist())
 
 
-def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, seed: int = 6, packet_chars: int = 2 << 20, bucket_chars: int = 24 << 20) -> DataFrame:
+def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, seed: int = 6, packet_chars: int = 1 << 20, bucket_chars: int = 16 << 20) -> DataFrame:
     """``docs`` with n_words, n_removed, spans (array of start, end: maximal repeats, in words) and kept_text.
 
     A word goes if a window of ``window`` words over it also starts in a document with a smaller id. Windows
@@ -184,6 +184,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         if held:
             yield out()
 
+    small_batches(docs.sparkSession)
     packets = stored(docs.mapInArrow(pack, "packet long, chars long, body binary"), "packets")
     total = packets.agg(F.sum("chars")).first()[0] or 0
     buckets = max(1, -(-total // bucket_chars))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import held_out
+from tracelake.llm.common import held_out, small_batches
 from tracelake.llm.samples import labelled, shares
 
 ROWS, DEPTH, FILTERS, HEAD = 1 << 14, 16, 16, 5
@@ -218,6 +218,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     else with the one for all. Null, empty and wordless texts get the score of a text without words;
     without a model every score is 0. Repeated rows score alike; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     model = fit(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col, **bounds)
     cuts = (model or {}).get("languages", {})
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
