@@ -41,20 +41,27 @@ def items(v: Column, path: str) -> Column:
     return F.when(kind(at(v, path)).startswith("ARRAY"), F.try_variant_get(v, path, "array<variant>"))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed and written once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _item(v: Column, depth: int) -> Column:
-    kind_ = F.coalesce(string(v, "$.type"), F.lit(""))
-    inner = text(at(v, "$.content"), depth - 1) if depth else F.lit(None).cast("string")
-    inner = F.when(inner != "", inner)
-    plain = F.coalesce(string(v, "$.text"), string(v, "$.input_text"), string(v, "$.output_text"), inner)
-    return F.when(kind_ == "tool_use", F.concat(F.lit("[Tool: "), F.coalesce(string(v, "$.name"), F.lit("unknown")), F.lit("]"))).when(kind_ == "tool_result", inner).otherwise(plain)
+    inner = F.get(F.filter(F.array(text(at(v, "$.content"), depth - 1)), lambda t: t != ""), F.lit(0)) if depth else F.lit(None).cast("string")
+    plain = F.coalesce(string(v, "$.text"), string(v, "$.input_text"), string(v, "$.output_text"))
+    tool = F.concat(F.lit("[Tool: "), F.coalesce(string(v, "$.name"), F.lit("unknown")), F.lit("]"))
+    return let(F.coalesce(string(v, "$.type"), F.lit("")), lambda k: F.when(k == "tool_use", tool).otherwise(F.coalesce(F.when(k != "tool_result", plain), inner)))
 
 
-def text(content: Column, depth: int = 2) -> Column:
+def text(content: Column, depth: int = 1) -> Column:
     """The text of a message's content: a string, an array of blocks, or an object with text.
 
     Blocks within blocks are followed to ``depth``; deeper ones give no text.
     """
-    parts = F.transform(items(content, "$"), lambda b: _item(b, depth))
-    joined = F.array_join(F.filter(parts, lambda t: t.isNotNull() & t.rlike(r"\S")), "\n")
-    shape = kind(content)
-    return F.when(shape == "STRING", string(content)).when(shape.startswith("ARRAY"), joined).when(shape.startswith("OBJECT"), F.coalesce(string(content, "$.text"), F.lit(""))).otherwise("")
+
+    def of(c: Column) -> Column:
+        parts = F.transform(F.try_variant_get(c, "$", "array<variant>"), lambda b: _item(b, depth))
+        joined = F.array_join(F.filter(parts, lambda t: t.isNotNull() & t.rlike(r"\S")), "\n")
+        return let(kind(c), lambda k: F.when(k == "STRING", F.try_variant_get(c, "$", "string")).when(k.startswith("ARRAY"), joined).when(k.startswith("OBJECT"), F.coalesce(string(c, "$.text"), F.lit(""))).otherwise(""))
+
+    return let(content, of)

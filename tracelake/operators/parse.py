@@ -23,7 +23,7 @@ def _event(kind: Column | str, actor: Column | None = None, content: Column | No
 
 
 def _some(text: Column) -> Column:
-    return F.when(text.rlike(r"\S"), text)
+    return json.let(text, lambda t: F.when(t.rlike(r"\S"), t))
 
 
 def read_lines(lines: DataFrame) -> DataFrame:
@@ -40,14 +40,13 @@ def skipped(lines: DataFrame) -> DataFrame:
 def claude(lines: DataFrame) -> DataFrame:
     """Up to three events a line: thinking, message, usage. isMeta hides the first two."""
     v = F.col("v")
-    meta = F.coalesce(json.boolean(v, "$.isMeta"), F.lit(False))
-    blocks = json.items(v, "$.message.content")
+    meta, blocks, thinking, said = (F.col(f"_{c}") for c in ("meta", "blocks", "thinking", "said"))
+    first = {"_meta": F.coalesce(json.boolean(v, "$.isMeta"), F.lit(False)), "_blocks": json.items(v, "$.message.content"), "_said": _some(json.text(json.at(v, "$.message.content")))}
     thoughts = F.filter(F.transform(F.filter(blocks, lambda b: json.string(b, "$.type") == "thinking"), lambda b: json.string(b, "$.thinking")), lambda t: t.isNotNull() & t.rlike(r"\S"))
-    thinking = _some(F.array_join(thoughts, "\n"))
+    second = {"_thinking": _some(F.array_join(thoughts, "\n"))}
     role = F.coalesce(json.string(v, "$.message.role"), F.lit("unknown"))
     tool = (role == "user") & (F.size(blocks) > 0) & F.forall(blocks, lambda b: F.coalesce(json.string(b, "$.type") == "tool_result", F.lit(False)))
     role = F.when(F.coalesce(tool, F.lit(False)), "tool").otherwise(role)
-    said = _some(json.text(json.at(v, "$.message.content")))
     model = json.string(v, "$.message.model")
     usage = F.struct(*(json.count(v, f"$.message.usage.{f}").alias(n) for f, n in (("input_tokens", "input"), ("output_tokens", "output"), ("cache_creation_input_tokens", "cache_creation"), ("cache_read_input_tokens", "cache_read"))))
     used = (json.string(v, "$.type") == "assistant") & json.at(v, "$.message.usage").isNotNull()
@@ -60,7 +59,7 @@ def claude(lines: DataFrame) -> DataFrame:
         )
     )
     session = F.coalesce(json.string(v, "$.sessionId"), json.string(v, "$.session_id"), paths.file_stem(F.col("source_path")))
-    own = read_lines(lines).where("v is not null")
+    own = read_lines(lines).where("v is not null").withColumns(first).withColumns(second)
     own = own.select(*SOURCE, "line_no", "line", session.alias("source_session_id"), json.string(v, "$.cwd").alias("cwd"), json.string(v, "$.timestamp").alias("occurred_at"), events.alias("events"))
     return own.select("*", F.posexplode("events").alias("slot", "e")).drop("events")
 
@@ -119,8 +118,8 @@ def codex(lines: DataFrame) -> DataFrame:
     usage = F.struct((got("input") - cached).alias("input"), got("output").alias("output"), F.lit(0).cast("long").alias("cache_creation"), cached.alias("cache_read"))
     grew = F.coalesce((got("input") + got("cached") + got("output")) > 0, F.lit(False))
     summary = F.transform(json.items(v, p("summary")), lambda s: json.string(s, "$.text"))
-    thought = _some(F.array_join(F.filter(summary, lambda t: t.isNotNull() & t.rlike(r"\S")), "\n"))
-    said, out = _some(json.text(json.at(v, p("content")))), _some(json.string(v, p("output")))
+    texts = {"_thought": _some(F.array_join(F.filter(summary, lambda t: t.isNotNull() & t.rlike(r"\S")), "\n")), "_said": _some(json.text(json.at(v, p("content")))), "_out": _some(json.string(v, p("output")))}
+    thought, said, out = (F.col(c) for c in texts)
     model, effort = F.col("model"), F.col("effort")
     item = F.col("kind") == "response_item"
     event = (
@@ -130,7 +129,7 @@ def codex(lines: DataFrame) -> DataFrame:
         .when(item & (F.col("inner") == "function_call_output") & out.isNotNull(), _event("tool_result", F.lit("tool"), out, model, effort))
         .when(F.col("counted") & grew, _event("usage", F.lit("assistant"), None, model, effort, usage))
     )
-    own = own.withColumn("e", event).where("e is not null")
+    own = own.withColumns(texts).withColumn("e", event).where("e is not null")
     return own.select(*SOURCE, "line_no", "line", F.coalesce("session", "stem").alias("source_session_id"), "cwd", json.string(v, "$.timestamp").alias("occurred_at"), F.lit(0).alias("slot"), "e")
 
 

@@ -90,6 +90,9 @@ class Store:
         base = self.manifest()
         now = int(time.time() * 1000) if now_ms is None else now_ms
         sources = sources.select(*SOURCE, "reason", "token")
+        staged = f"{self.path}/.staged/{uuid.uuid4().hex}"  # parsed once, and the same at every use
+        events.write.parquet(staged)
+        events = self.spark.read.schema(events.schema).parquet(staged)
         if not events.join(sources, SOURCE, "left_anti").isEmpty():
             raise ValueError("the batch holds events of sources that it doesn't declare")
         old, head, tokens = self.table("raw_events", base), self.table("current_head", base), self.table("applied_projections", base)

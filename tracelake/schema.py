@@ -8,7 +8,26 @@ SCHEMA_VERSION, EVENT_KEY_VERSION, PARSER_REVISION = 2, 1, 4
 SOURCE = ["source_type", "source_location", "source_path"]
 REVISIONS = ["source_revision", "projection_revision"]
 
-_parse = T._parse_datatype_string
+_KINDS = {"int": T.IntegerType, "long": T.LongType, "string": T.StringType}
+
+
+def _parse(text: str) -> T.StructType:
+    """A struct from ``name kind, ...``; kinds may be struct<name:kind,...>. Needs no session."""
+    fields, inner = [], None
+    for part in text.replace("<", "<,").replace(">", ",>").replace(":", " ").split(","):
+        words = part.split()
+        if not words:
+            continue
+        if words[-1] == "struct<":
+            inner = (words[0], [])
+        elif words[0] == ">":
+            fields.append(T.StructField(inner[0], T.StructType(inner[1])))
+            inner = None
+        else:
+            (fields if inner is None else inner[1]).append(T.StructField(words[0], _KINDS[words[1]]()))
+    return T.StructType(fields)
+
+
 EVENT = _parse(
     "schema_version int, source_type string, source_location string, source_path string, source_session_id string, seq long, "
     "event_key struct<version:int,record_fingerprint:string,slot_ordinal:int>, source_mode string, cwd string, project_root string, "
