@@ -112,6 +112,14 @@ def _lines(p: Range) -> Iterator[tuple[bytes, int]]:
             at += len(line)
 
 
+def bad_lines(p: Range) -> tuple[int, int]:
+    """How many lines a range has, and how many of them aren't JSON."""
+    n = bad = 0
+    for n, (line, _) in enumerate(_lines(p), 1):  # noqa: B007
+        bad += not _json(line)
+    return n, bad
+
+
 def _json(line: bytes) -> bool:
     if not line.strip():
         return True
