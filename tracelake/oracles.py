@@ -17,7 +17,7 @@ _HE = r"""h0 AS (SELECT o_custkey, o_orderkey, CASE o_orderpriority WHEN '1-URGE
  h1 AS (SELECT *, count(*) FILTER (reason='rollback') OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS srev FROM h0),
  h2 AS (SELECT *, count(*) FILTER (reason='reparse') OVER (PARTITION BY o_custkey, srev ORDER BY o_orderkey) AS prev FROM h1)"""
 _RG = r"""rg AS (SELECT root, lower_key AS k, CASE WHEN length(root)%2=0 THEN 'git' ELSE 'marker' END AS src FROM (
-  SELECT DISTINCT root, regexp_replace(root,'/+$','') AS lower_key FROM (SELECT regexp_extract(url,'^(https?://[^/]+/[^/]+)',1) AS root FROM pages WHERE page_id%10=0 UNION ALL SELECT regexp_extract(url,'^(https?://[^/]+)',1) FROM pages WHERE page_id%25=0) WHERE root<>'')),
+  SELECT DISTINCT root, regexp_replace(root,'/+$','') AS lower_key FROM (SELECT regexp_extract(url,'^(https?://[^/]+/[^/]+)',1) AS root FROM pages WHERE starts_with(url,'https://') UNION ALL SELECT regexp_extract(url,'^(https?://[^/]+)',1) FROM pages WHERE starts_with(url,'https://blog.')) WHERE root<>'')),
  pg AS (SELECT page_id, regexp_replace(url,'[?].*$','') AS p FROM pages),
  hit AS (SELECT page_id, max_by(root, length(k)) AS root, max_by(src, length(k)) AS src FROM pg JOIN rg ON regexp_replace(p,'/+$','')=k OR starts_with(p, k||'/') GROUP BY page_id),
  att AS (SELECT pg.page_id, coalesce(root, p) AS project_root, coalesce(src,'unattributed') AS project_root_source FROM pg LEFT JOIN hit USING (page_id))"""
@@ -54,8 +54,8 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN c<=3 THEN 'freeze' ELSE 'advance' END AS plan_cursor, CASE WHEN c<=3 THEN 'hold' ELSE 'advance' END AS plan_sync, CASE c WHEN 2 THEN 'unknown' ELSE q END AS plan_quality FROM d""",
         "attribute_prefix": f"WITH {_RG} SELECT * FROM att",
         "attribution_summary": f"WITH {_RG} SELECT CASE WHEN project_root_source<>'unattributed' THEN project_root END AS project_root, project_root_source, count(*) AS events FROM att GROUP BY ALL",
-        "root_report": r"""WITH c AS (SELECT c_custkey AS id, 'wsl:'||n_name||':/home/p' AS root, 'git:'||c_mktsegment AS cid, n_nationkey AS n FROM customer JOIN nation ON c_nationkey=n_nationkey),
-          i AS (SELECT root, arg_max(cid, id%97*1000000000+id) AS canonical_id FROM c WHERE id%3<>0 GROUP BY root), p AS (SELECT root, arg_max(['resolved','none','odd'][id%3+1], id) AS o FROM c WHERE n%2=0 GROUP BY root)
+        "root_report": r"""WITH c AS (SELECT c_custkey AS id, 'wsl:'||n_name||':/home/p' AS root, 'git:'||c_mktsegment AS cid, n_regionkey AS n, c_acctbal AS bal FROM customer JOIN nation ON c_nationkey=n_nationkey),
+          i AS (SELECT root, arg_max(cid, id%97*1000000000+id) AS canonical_id FROM c WHERE bal>=0 GROUP BY root), p AS (SELECT root, arg_max(['resolved','none','odd'][id%3+1], id) AS o FROM c WHERE n<>1 GROUP BY root)
           SELECT 'wsl:'||n_name||':/home/p' AS root_key, canonical_id, CASE WHEN o IN ('resolved','none','failed') THEN o WHEN o IS NOT NULL THEN 'unresolved' ELSE 'not_probed' END AS verdict, '\\wsl.localhost\'||n_name||'\home\p' AS aliases, '-home-p|--wsl.localhost-'||n_name||'-home-p' AS project_dirs
           FROM nation LEFT JOIN i ON i.root='wsl:'||n_name||':/home/p' LEFT JOIN p ON p.root='wsl:'||n_name||':/home/p'""",
         "identity_merge": "SELECT c_nationkey::VARCHAR AS project_root, c_mktsegment AS canonical_id, min(c_custkey) AS first_seen_ms, max(c_custkey*2) AS last_seen_ms FROM customer GROUP BY ALL",
@@ -64,8 +64,8 @@ def oracle_sql() -> dict[str, str]:
         "remote_url": r"SELECT page_id, lower(regexp_extract(url,'^https?://([^/]+)/([^?]*)',1)||'/O/'||regexp_replace(regexp_replace(regexp_extract(url,'^https?://([^/]+)/([^?]*)',2),CASE WHEN page_id%3=2 THEN '/+$' ELSE '^$' END,''),'(\.git)+$','')) AS remote FROM pages",
         "extract_text": r"SELECT conv_id, turn, CASE WHEN regexp_matches(text,'[^ \t\n\x0B\f\r]') THEN text||chr(10) ELSE '' END||'[Tool: unknown]'||chr(10)||'tail' AS text FROM conversations",
         "store_status": f"WITH {_CE} SELECT count(*) AS events, coalesce(max(\"offset\"),0) AS max_offset, max(ingested_at) AS last_ingested FROM ce",
-        "parity_by_combo": """WITH o AS (SELECT o_orderpriority AS pv, o_custkey AS sp, o_orderkey AS k, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderkey) AS r, o_orderstatus AS m, o_orderkey AS i, '/a' AS cwd FROM orders WHERE o_orderkey%19<>0),
-          n AS (SELECT o_orderpriority AS pv, o_custkey AS sp, o_orderkey AS k, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderkey) AS r, o_orderstatus AS m, o_orderkey+CASE WHEN o_orderkey%29=0 THEN 1 ELSE 0 END AS i, CASE WHEN o_orderkey%31=0 THEN '/b' ELSE '/a' END AS cwd FROM orders WHERE o_orderkey%23<>0),
+        "parity_by_combo": """WITH o AS (SELECT o_orderpriority AS pv, o_custkey AS sp, o_orderkey AS k, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderkey) AS r, o_orderstatus AS m, o_orderkey AS i, '/a' AS cwd FROM orders WHERE o_totalprice<300000),
+          n AS (SELECT o_orderpriority AS pv, o_custkey AS sp, o_orderkey AS k, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderkey) AS r, o_orderstatus AS m, o_orderkey+CASE WHEN o_orderkey%29=0 THEN 1 ELSE 0 END AS i, CASE WHEN o_orderkey%31=0 THEN '/b' ELSE '/a' END AS cwd FROM orders WHERE o_totalprice>50000),
           z AS (SELECT coalesce(o.pv,n.pv) AS pv, coalesce(o.sp,n.sp) AS sp, o.k IS NOT NULL AS a, n.k IS NOT NULL AS b, o.m IS DISTINCT FROM n.m OR o.i IS DISTINCT FROM n.i AS x, o.cwd IS DISTINCT FROM n.cwd AS y FROM o FULL JOIN n ON o.pv=n.pv AND o.sp=n.sp AND o.r=n.r)
           SELECT pv||'|local' AS combo, count(*) FILTER (a) AS facts, count(*) FILTER (a AND b AND NOT x) AS matched, count(*) FILTER (a AND b AND x) AS must_mismatch, count(*) FILTER (a AND b AND y) AS advisory, count(*) FILTER (NOT b) AS missing, count(*) FILTER (NOT a AND sp%2=0) AS growth, count(*) FILTER (NOT a AND sp%2<>0) AS unknown_extra, count(*) FILTER (NOT a) AS extra FROM z GROUP BY ALL""",
     }

@@ -184,8 +184,8 @@ def commit_plan(spark, sf):
 
 
 def _registry(spark, sf):
-    own = _t(spark, sf, "pages").where("page_id % 10 = 0").select(F.regexp_extract("url", "^(https?://[^/]+/[^/]+)", 1).alias("root_path")).where("root_path <> ''")
-    host = _t(spark, sf, "pages").where("page_id % 25 = 0").select(F.regexp_extract("url", "^(https?://[^/]+)", 1).alias("root_path")).where("root_path <> ''")
+    own = _t(spark, sf, "pages").where(F.col("url").startswith("https://")).select(F.regexp_extract("url", "^(https?://[^/]+/[^/]+)", 1).alias("root_path")).where("root_path <> ''")
+    host = _t(spark, sf, "pages").where(F.col("url").startswith("https://blog.")).select(F.regexp_extract("url", "^(https?://[^/]+)", 1).alias("root_path")).where("root_path <> ''")
     both = own.union(host).distinct()
     return both.select(paths.registry_key(F.col("root_path")).alias("root_key"), "root_path", F.when(F.length("root_path") % 2 == 0, "git").otherwise("marker").alias("root_source"))
 
@@ -203,8 +203,8 @@ def root_report(spark, sf):
     c = _t(spark, sf, "customer").join(_t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     root = F.concat(F.lit("wsl:"), F.col("n_name"), F.lit(":/home/p"))
     reg = _t(spark, sf, "nation").select(root.alias("root_key"), root.alias("root_path"), F.lit("git").alias("root_source"))
-    idn = c.select(F.col("c_custkey").alias("id"), root.alias("project_root"), F.concat(F.lit("git:"), F.col("c_mktsegment")).alias("canonical_id"), F.lit(0).alias("first_seen_ms"), (F.col("c_custkey") % 97).alias("last_seen_ms")).where("id % 3 <> 0")
-    probes = c.where("n_nationkey % 2 = 0").select(root.alias("project_root"), F.element_at(F.array(*map(F.lit, ("resolved", "none", "odd"))), (F.col("c_custkey") % 3 + 1).cast("int")).alias("outcome"), F.col("c_custkey").alias("last_probe_ms"))
+    idn = c.where("c_acctbal >= 0").select(F.col("c_custkey").alias("id"), root.alias("project_root"), F.concat(F.lit("git:"), F.col("c_mktsegment")).alias("canonical_id"), F.lit(0).alias("first_seen_ms"), (F.col("c_custkey") % 97).alias("last_seen_ms"))
+    probes = c.where("n_regionkey <> 1").select(root.alias("project_root"), F.element_at(F.array(*map(F.lit, ("resolved", "none", "odd"))), (F.col("c_custkey") % 3 + 1).cast("int")).alias("outcome"), F.col("c_custkey").alias("last_probe_ms"))
     return views.root_report(reg, idn, probes).select("root_key", "canonical_id", "verdict", F.array_join("aliases", "|").alias("aliases"), F.array_join("project_dirs", "|").alias("project_dirs"))
 
 
@@ -256,8 +256,8 @@ def parity_by_combo(spark, sf):
     k = F.col("o_orderkey")
     none = F.lit(None).cast("string")
     fact = lambda shift, cwd: [F.col("o_orderpriority").alias("provider"), F.lit("local").alias("location"), F.col("o_custkey").cast("string").alias("source_path"), k.alias("seq"), F.lit("s").alias("session_id"), F.col("o_orderstatus").alias("model"), none.alias("effort"), cwd.alias("cwd"), none.alias("project_root"), (k + shift).alias("input_tokens"), *(F.lit(0).cast("long").alias(c) for c in ("output_tokens", "cache_creation_tokens", "cache_read_tokens")), none.alias("message_id"), none.alias("request_id")]
-    old = o.where(k % 19 != 0).select(*fact(F.lit(0), F.lit("/a")))
-    new = o.where(k % 23 != 0).select(*fact(F.when(k % 29 == 0, 1).otherwise(0), F.when(k % 31 == 0, "/b").otherwise("/a")))
+    old = o.where("o_totalprice < 300000").select(*fact(F.lit(0), F.lit("/a")))
+    new = o.where("o_totalprice > 50000").select(*fact(F.when(k % 29 == 0, 1).otherwise(0), F.when(k % 31 == 0, "/b").otherwise("/a")))
     files = o.select(F.col("o_custkey").cast("string").alias("source_path")).distinct().select("source_path", F.lit(1).alias("old_size"), F.when(F.col("source_path").cast("long") % 2 == 0, 2).otherwise(1).alias("new_size"))
     return parity.report(parity.align(old, new, files))
 
