@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracelake.functions.json import let
+
 _SHAPE = r"^(\d{4})-(\d{2})-(\d{2})[Tt ](\d{2}):(\d{2})(?::(\d{2}))?(?:[.,](\d*))?(?:[Zz].*|([+-])(.*))?$"
+#: All groups of a match, the one with free text last.
+_PARTS = "|".join(f"${k}" for k in range(1, 10))
 #: White space at both ends, beyond blanks alone.
 _ENDS = r"^\s+|\s+$"
 
@@ -29,14 +33,18 @@ def unix_ms(raw: Column) -> Column:
     The separator may be t or a blank, the fraction's mark a comma; digits past the third are cut. Zones are
     Z, +HH, +HHMM or +HH:MM; none means UTC. Second 60 and day 31 of any month are taken as they stand.
     """
-    text = trimmed(raw)
-    part = lambda k: F.regexp_extract(text, _SHAPE, k)
+    # one match for all parts, each bound once: written out, the expression would outgrow a compiled method
+    return let(trimmed(raw), lambda t: let(F.when(t.rlike(_SHAPE), F.split(F.regexp_replace(t, _SHAPE, _PARTS), r"\|", 9)), _from_parts))
+
+
+def _from_parts(parts: Column) -> Column:
+    part = lambda k: F.get(parts, F.lit(k - 1))
     number = lambda k: F.when(part(k) != "", part(k).cast("long"))
     month, day, hour, minute, second = number(2), number(3), number(4), number(5), F.coalesce(number(6), F.lit(0))
     millis = F.rpad(part(7), 3, "0").cast("long")
     zone = F.regexp_replace(part(9), "[^0-9]", "")
     minutes = F.when(part(8) == "", 0).when(F.length(zone) == 2, zone.cast("long") * 60).when(F.length(zone) == 4, F.substring(zone, 1, 2).cast("long") * 60 + F.substring(zone, 3, 2).cast("long"))
     minutes = F.when(part(8) == "-", -minutes).otherwise(minutes)
-    ok = text.rlike(_SHAPE) & month.between(1, 12) & day.between(1, 31) & (hour <= 23) & (minute <= 59) & (second <= 60)
+    ok = month.between(1, 12) & day.between(1, 31) & (hour <= 23) & (minute <= 59) & (second <= 60)
     seconds = days_from_civil(number(1), month, day) * 86400 + hour * 3600 + minute * 60 + second - minutes * 60
     return F.when(ok, seconds * 1000 + millis)
