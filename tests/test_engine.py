@@ -123,6 +123,26 @@ def test_text_of_nested_blocks(spark):
     assert one(spark, lambda a: js.text(js.parse(a)), v) == "a\nb"
 
 
+def test_text_of_blocks_at_any_depth(spark):
+    def deep(block, levels):
+        for k in range(levels):
+            block = {"type": ("tool_result", "search_result", "x")[k % 3], "content": [block, {"type": "text", "text": f"after {k}"}]}
+        return block
+
+    levels = (0, 1, 2, 3, 4, 60, 400)
+    for n in levels:
+        v = json.dumps([{"text": "before"}, deep({"type": "text", "text": "said"}, n), {"type": "tool_use", "name": "sh", "content": [{"text": "unseen"}]}])
+        assert one(spark, lambda a: js.text(js.parse(a)), v) == "\n".join(["before", "said", *(f"after {k}" for k in range(n)), "[Tool: sh]"])
+    odd = [{"type": "tool_result", "text": "unseen", "content": [{"content": [{"content": "a"}, {"content": {"text": "b"}}, [{"text": "unseen"}], None, {"text": "", "content": [{"text": "unseen"}]}, {"content": []}]}]}, {"text": 7, "content": [{"content": [{"output_text": "c"}]}]}]
+    assert one(spark, lambda a: js.text(js.parse(a)), json.dumps(odd)) == "a\nb\nc"
+
+
+def test_messages_of_deep_blocks_keep_their_places(spark):
+    found = {"type": "tool_result", "content": [{"type": "search_result", "content": [{"type": "text", "text": "found"}]}]}
+    said = lines(spark, "claude_code", "/t.jsonl", [{"sessionId": "s", "message": {"role": "user", "content": c}} for c in ("a", [found], "b")])
+    assert [(r.seq, r.actor, r.content) for r in parse.events(said, registry(spark)).orderBy("seq").collect()] == [(0, "user", "a"), (1, "tool", "found"), (2, "user", "b")]
+
+
 def test_attribution_by_segments(spark):
     df = spark.createDataFrame([(1, "/a/bc"), (2, "/a/b/c/d"), (3, None), (4, " "), (5, "/a/b")], "i long, cwd string")
     got = {r.i: (r.project_root, r.project_root_source) for r in attribute(df, registry(spark, "/a/b", "/a/b/c")).collect()}

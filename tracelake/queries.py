@@ -243,8 +243,15 @@ def remote_url(spark, sf):
 
 
 def extract_text(spark, sf):
-    block = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text")), F.struct(F.lit("tool_use").alias("type"), F.col("role").alias("text")).dropFields("none"), F.struct(F.lit("input_text").alias("type"), F.lit("tail").alias("text"))))
-    return _t(spark, sf, "conversations").select("conv_id", "turn", json.text(json.parse(block)).alias("text"))
+    said = F.to_json(F.struct(F.lit("text").alias("type"), F.col("text")))
+    body = F.concat(said, F.lit(","), F.to_json(F.struct(F.lit("tool_use").alias("type"), F.col("role").alias("text"))))
+    inside = F.concat(F.lit('{"type":"search_result","content":['), body, F.lit("]}"))
+    outside = F.concat(F.lit('{"type":"tool_result","content":['), inside, F.lit("]}"))
+    deepest = F.concat(F.lit('{"content":[' * 5), outside, F.lit("]}" * 5))
+    level = F.pmod("turn", F.lit(4))
+    blocks = F.when(level == 1, inside).when(level == 2, outside).when(level == 3, deepest).otherwise(body)
+    content = F.concat(F.lit("["), blocks, F.lit(',{"type":"input_text","text":"tail"}]'))
+    return _t(spark, sf, "conversations").select("conv_id", "turn", json.text(json.parse(content)).alias("text"))
 
 
 def store_status(spark, sf):

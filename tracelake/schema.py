@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-SCHEMA_VERSION, EVENT_KEY_VERSION, PARSER_REVISION = 2, 1, 4
+SCHEMA_VERSION, EVENT_KEY_VERSION, PARSER_REVISION = 2, 1, 5
 SOURCE = ["source_type", "source_location", "source_path"]
 REVISIONS = ["source_revision", "projection_revision"]
 
