@@ -97,6 +97,31 @@ def test_commands(spark, home):
     assert run(spark, home, "memory-roots")[1][-1]["kind"] == "memory_roots_summary"
 
 
+def test_snapshots_of_a_project_have_its_root(spark, home):
+    project = home / "my-app"
+    project.mkdir()
+    (project / "CLAUDE.md").write_text("rules")
+    folder = home / "claude/projects" / str(project).replace("/", "-")
+    for sub in ("memory", "other/memory"):
+        (folder / sub).mkdir(parents=True)
+        (folder / sub / "p.md").write_text("of the project")
+    paths = lambda: {r["event"]["source_path"]: (r["event"].get("project_root"), r["event"].get("project_root_source")) for r in run(spark, home, "snapshots")[1][:-1]}
+    rest = {str(home / "claude/projects/-w/memory/m.md"): (None, None), str(folder / "other/memory/p.md"): (None, None)}
+    own = {str(folder / "memory/p.md"): (str(project), "host_identity"), str(project / "CLAUDE.md"): (str(project), "host_identity")}
+    assert run(spark, home, "sync-snapshots")[1] == [{"kind": "sync_snapshots_summary", "sources": 4, "changed": 4, "unchanged": 0, "appended": 4, "failed": 0, "unreachable": 0}]
+    assert paths() == rest | own and run(spark, home, "sync-snapshots")[1][-1]["unchanged"] == 4
+    assert run(spark, home, "erase", "project_root", str(project), "--confirm", str(project))[1][0]["events"] == 2
+    assert paths() == rest and run(spark, home, "sync-snapshots")[1][-1]["appended"] == 0 and paths() == rest
+
+
+def test_project_folders_that_cannot_be_asked(spark, home, monkeypatch):
+    probe = discovery.probe
+    monkeypatch.setattr(discovery, "probe", lambda p: ("unknown", "PermissionError") if p == "/w" else probe(p))
+    rows = run(spark, home, "sync-snapshots")[1]
+    assert rows[0] == {"kind": "sync_unreachable", "reason": f"{home}/claude/projects/-w: unreadable"} and rows[-1]["unreachable"] == 1 and rows[-1]["appended"] == 1
+    assert discovery.project_identities({"claude_code": str(home / "none")}) == ([], []) and discovery.decode_project_dir("-") is None
+
+
 def test_roots_and_identities(spark, home):
     for name, config in (("a", '[remote "origin"]\n\turl = git@H:o/r.git\n'), ("b", "")):
         (home / f"{name}/.git").mkdir(parents=True)

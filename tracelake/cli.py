@@ -134,7 +134,11 @@ def show_snapshots(a, spark, emit) -> int:
 def sync_snapshots(a, spark, emit) -> int:
     store = _store(a, spark)
     listing, bad = discovery.discover(spark, mode="snapshot_file")
-    own = listing.unionByName(discovery.project_snapshots(store.table("project_root_registry").select("root_path")))
+    found, lost = discovery.project_identities()
+    bad = sorted({*bad, *lost})
+    known = spark.createDataFrame(found, discovery.IDENTITY)
+    tops = store.table("project_root_registry").select("root_path").union(known.select("project_root")).distinct()
+    own = discovery.enumerate_snapshots(listing, discovery.project_snapshots(tops), known)
     asked = [(r.source_path, discovery.probe(r.source_path)) for r in own.select("source_path").distinct().collect()]  # a name a file
     there = [p for p, (status, _) in asked if status == "file"]
     unknown = [(p, why) for p, (status, why) in asked if status == "unknown"]

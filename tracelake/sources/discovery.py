@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tracelake.sources.catalog import ARTIFACTS, PROJECT_FILES, config_dirs
 
+IDENTITY = "encoded string, source_location string, project_root string"
 LISTING = "source_type string, source_location string, source_path string, source_mode string, project_root string, artifact_kind string"
 #: Files that mark a root where no repository is above.
 MARKERS = ["Cargo.toml", "package.json", "pyproject.toml", "go.mod", "pom.xml", "build.gradle", "CMakeLists.txt", "Makefile"]
@@ -79,21 +80,23 @@ def enumerate_snapshots(snapshots: DataFrame, project_files: DataFrame, identiti
     identities: encoded, source_location, project_root. snapshots' folder: the name after ``projects/``.
     """
     first = identities.groupBy("encoded", "source_location").agg(F.min("project_root").alias("_root"))
-    own = snapshots.withColumn("encoded", F.regexp_extract("source_path", r"[/\\]projects[/\\]([^/\\]+)", 1)).join(first, ["encoded", "source_location"], "left")
-    own = own.withColumn("project_root", F.coalesce("project_root", "_root")).drop("encoded", "_root")
-    return own.unionByName(project_files).dropDuplicates(["source_type", "source_location", "source_path"]).orderBy("source_path", "source_type")
-
-
-def decode_project_dir(encoded: str) -> str | None:
-    """The folder that an encoded name stands for, by what is on disk; null if none or if a look failed.
-
-    Longest names first at each level, backing off where they lead nowhere.
-    """
+    encoded = F.when(F.col("source_type") == "claude_code", F.regexp_extract("source_path", r"[/\\]projects[/\\]([^/\\]+)[/\\]memory[/\\]", 1))
+    own = snapshots.withColumn("encoded", encoded).join(first, ["encoded", "source_location"], "left")
+    own = own.withColumn("project_root", F.coalesce("project_root", "_root")).select(snapshots.columns)
+    key = ["source_type", "source_location", "source_path"]
+    both = own.withColumn("_kind", F.lit(0)).unionByName(project_files.withColumn("_kind", F.lit(1)))
+    rest = [c for c in snapshots.columns if c not in key]
+    # listed ones first, then the shortest way to the root: the same one at each sync
+    best = both.groupBy(key).agg(F.min(F.struct("_kind", F.length("project_root").alias("_n"), *rest)).alias("_best"))
+    return best.select(*key, *(F.col("_best")[c].alias(c) for c in rest)).select(snapshots.columns).orderBy("source_path", "source_type")
+
+
+def _decode(encoded: str) -> str | None:
     parts = encoded.lstrip("-").split("-")
 
     def go(base: str, k: int) -> str | None:
         if k == len(parts):
-            return base
+            return base if base != "/" else None
         for n in range(len(parts) - k, 0, -1):
             path = os.path.join(base, "-".join(parts[k : k + n]))
             status, _ = probe(path)
@@ -103,12 +106,41 @@ def decode_project_dir(encoded: str) -> str | None:
                 return found
         return None
 
+    return go("/", 0)
+
+
+def decode_project_dir(encoded: str) -> str | None:
+    """The folder that an encoded name stands for, by what is on disk; null if none or if a look failed.
+
+    Longest names first at each level, backing off where they lead nowhere.
+    """
     try:
-        return go("/", 0)
+        return _decode(encoded)
     except OSError:
         return None
 
 
+def project_identities(dirs: dict[str, str] | None = None) -> tuple[list[tuple[str, str, str]], list[str]]:
+    """(encoded, source_location, project_root) of the project folders that decode, and the folders where a look failed."""
+    top = os.path.join((dirs or config_dirs())["claude_code"], "projects")
+    found, unreachable = [], []
+    try:
+        names = sorted(os.listdir(top))
+    except (FileNotFoundError, NotADirectoryError):
+        return [], []
+    except OSError:
+        return [], [top]
+    for name in names:
+        try:
+            root = _decode(name)
+        except OSError:
+            unreachable.append(os.path.join(top, name))
+            continue
+        if root:
+            found.append((name, "local", root))
+    return found, unreachable
+
+
 def project_root(path: str, home: str | None = None) -> tuple[str, str] | None:
     """(root, source) of a path: the nearest .git above beats any marker; home itself is never a root."""
     home = os.path.realpath(home or os.path.expanduser("~"))
