@@ -92,6 +92,23 @@ def test_decontamination_needs_question_and_answer(spark):
     assert decontaminate.contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_items_with_one_changed_word(spark):
+    words = {n: [f"w{n}x{k}" for k in range(n)] for n in (12, 16, 23, 40)}
+    rows, want, whole_only = [], set(), set()
+    held = lambda side, text: len(decontaminate.shingles(side) & decontaminate.shingles(text)) / len(decontaminate.shingles(side))
+    for n, own in words.items():
+        for k in range(n):
+            edited = [*own[:k], "other", *own[k + 1 :]]
+            rows.append((100 * n + k, " ".join(["before", *edited, "after"])))
+            both, whole = min(held(side, edited) for side in decontaminate.parts(own)) >= 0.8, held(own, edited) >= 0.8
+            want |= {(100 * n + k, n)} if both or whole else set()
+            whole_only |= {(100 * n + k, n)} if whole and not both else set()
+        rows.append((100 * n + 99, " ".join(decontaminate.parts(own)[0])))  # the question alone
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(own)) for n, own in words.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contamination(docs, bench).collect()} == want and whole_only
+
+
 def test_classifiers_learn_and_take_odd_rows(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")

@@ -5,7 +5,7 @@ Items are indexed as segments; impacts are divided by a segment's own score, so
 threshold, in batches of passages: a passage stays only if the sum of its terms' largest impacts reaches the
 threshold, a block of segments only if the sum of its block maxima does, and only then are segments scored.
 No bound ever lies below the score, so all segments at the threshold are found. What is found is verified on
-the document's words: five-word shingles of the item's question and of its answer.
+the document's words: five-word shingles of the item's question and of its answer, or of the whole item.
 """
 
 from __future__ import annotations
@@ -139,7 +139,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     """(id_col, item_col, score, question_overlap, answer_overlap): documents that hold a test item.
 
     The best passage score of each document and item with at least ``threshold``, where the document holds
-    at least ``overlap`` of the five-word shingles of both the item's question and its answer. Benchmarks of
+    at least ``overlap`` of the five-word shingles of both the item's question and its answer, or of the whole
+    item: a short answer has so few shingles that one changed word would decide. Benchmarks of
     any size are indexed ``shard`` items at a time; each index is a broadcast of bounded size and is searched
     with all documents. Null, empty and wordless texts and items match nothing; repeated documents and items
     each give their rows once; ids that are null are dropped; an empty side gives no rows.
@@ -177,7 +178,7 @@ def _search(docs, index, id_col, text_col, item_col, passage, threshold, overlap
                 mine, now = set(), None
                 for (d, p), score in sorted(best.items()):
                     if p not in sides:
-                        sides[p] = [shingles(x) for x in parts(ix.words[p])]
+                        sides[p] = [shingles(x) for x in (*parts(ix.words[p]), ix.words[p])]
                     if d != now:  # the document's shingles, as long as they are needed
                         now, mine = d, shingles(split[d])
                         short = set(split[d])
@@ -187,7 +188,8 @@ def _search(docs, index, id_col, text_col, item_col, passage, threshold, overlap
                             held.append(_has(split[d], next(iter(side))) if next(iter(side))[0] in short else 0.0)
                         else:
                             held.append(len(side & mine) / len(side))
-                    if min(held) >= overlap:
+                    *held, whole = held
+                    if max(min(held), whole) >= overlap:
                         rows.append((ids[s + d], ix.items[p], min(1.0, score), *held))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
