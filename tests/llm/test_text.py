@@ -92,6 +92,16 @@ def test_decontamination_needs_question_and_answer(spark):
     assert decontaminate.contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_long_items(spark):
+    long = [" ".join(f"i{i}w{k}" for k in range(20_000)) for i in range(3)]
+    ix = decontaminate.Index(list(enumerate(long)), segment=64, block=8)
+    assert sum(x.nbytes for x in vars(ix).values() if isinstance(x, np.ndarray)) < 100 * 60_000  # dense: 225 MB
+    docs = spark.createDataFrame([(k, f"before {t} after") for k, t in enumerate([*long, "none of them"])], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(long)), "item_id long, text string")
+    for words in (500_000, 30_000, 10):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.contamination(docs, bench, words=words).collect()} == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_decontamination_finds_items_with_one_changed_word(spark):
     words = {n: [f"w{n}x{k}" for k in range(n)] for n in (12, 16, 23, 40)}
     rows, want, whole_only = [], set(), set()

@@ -4,6 +4,7 @@ Items are indexed as segments; impacts are divided by a segment's own score, so
 0 and 1: the share of the segment's BM25 weight that it holds. Search is block-max WAND with a fixed
 threshold, in batches of passages: a passage stays only if the sum of its terms' largest impacts reaches the
 threshold, a block of segments only if the sum of its block maxima does, and only then are segments scored.
+The bounds of all blocks that hold any of a passage's terms are summed; nothing pivots.
 No bound ever lies below the score, so all segments at the threshold are found. What is found is verified on
 the document's words: five-word shingles of the item's question and of its answer, or of the whole item.
 """
@@ -23,6 +24,8 @@ from tracelake.llm.common import small_batches
 #: Word characters: ASCII letters (case doesn't count) and digits, and all beyond ASCII.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 SHINGLE = 5
+#: Fixed value: postings and block bounds that are looked at together; a passage with more is looked at alone.
+CELLS = 1 << 21
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -41,7 +44,7 @@ def parts(words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
 
 
 class Index:
-    """BM25 impacts of segments, whole and as block maxima."""
+    """BM25 impacts of segments: for each term the blocks that have it, with their maxima. Size goes with the number of words."""
 
     def __init__(self, items: list[tuple[int, str]], *, segment: int, block: int, k1: float = 1.2, b: float = 0.75) -> None:
         self.items, self.words = [], []
@@ -69,7 +72,7 @@ class Index:
                 self.terms.setdefault(x, len(self.terms))
         self.place = np.array([p for p, _ in found], np.int64)
         n, mean = len(found), np.mean([len(w) for _, w in found]) if found else 1
-        impact = np.zeros((len(self.terms) + 1, n), np.float32)  # the last row: words of no item
+        at, value = [], []  # postings: term and segment, impact
         for k, (_, w) in enumerate(found):
             counts: dict[bytes, int] = {}
             for x in w:
@@ -77,14 +80,25 @@ class Index:
             raw = {x: np.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * c * (k1 + 1) / (c + k1 * (1 - b + b * len(w) / mean)) for x, c in counts.items()}
             total = sum(raw.values())
             for x, v in raw.items():
-                impact[self.terms[x], k] = v / total
+                at.append(self.terms[x] * n + k)
+                value.append(v / total)
         self.block = block
         self.blocks = -(-n // block) if n else 0
-        padded = np.zeros((len(impact), self.blocks * block), np.float32)
-        padded[:, :n] = impact
-        self.by_block = padded.reshape(len(padded), self.blocks, block)
-        self.block_max = self.by_block.max(axis=2) if n else np.zeros((1, 0), np.float32)
-        self.top = self.block_max.max(axis=1) if n else np.zeros(1, np.float32)
+        term, place = np.divmod(np.array(at, np.int64), max(n, 1))
+        # a row for each term and block that has it, by term; the last row is for those without
+        self.keys, row = np.unique(term * self.blocks + place // block, return_inverse=True)
+        self.cells = np.zeros((len(self.keys) + 1, block), np.float32)
+        self.cells[row, place % block] = value
+        self.peak = self.cells.max(axis=1)
+        self.heads = np.searchsorted(self.keys, np.arange(len(self.terms) + 1) * self.blocks)
+        self.top = np.maximum.reduceat(self.peak, self.heads[:-1]) if n else np.zeros(1, np.float32)
+
+    @property
+    def by_block(self) -> np.ndarray:
+        """The dense form, terms x blocks x segments, to compare with; its last row is of words of no item."""
+        dense = np.zeros(((len(self.terms) + 1) * self.blocks, self.block), np.float32)
+        dense[self.keys] = self.cells[:-1]
+        return dense.reshape(len(self.terms) + 1, self.blocks, self.block)
 
     def search(self, terms: np.ndarray, doc: np.ndarray, passage: int, threshold: float) -> np.ndarray:
         """(document, item's place, score) rows for the terms of several documents, one after another.
@@ -120,45 +134,71 @@ class Index:
         owner = doc[np.searchsorted(slot, where[starts])]
         ends = np.append(starts[1:], len(where))
         out = []
-        for s in range(0, len(starts), 4096):
-            a, z = starts[s], ends[min(s + 4096, len(starts)) - 1]
-            bounds = np.add.reduceat(self.block_max[term[a:z]], starts[s : s + 4096] - a, axis=0)
-            p, blk = np.nonzero(bounds >= threshold - 1e-4)
+        some = self.heads[term + 1] - self.heads[term]  # blocks of each term
+        upto = np.append(0, np.cumsum(some))[np.append(starts, len(where))]
+        s = 0
+        while s < len(starts):  # as many passages as fit into a bounded number of postings and bounds
+            e = min(s + max(1, min(4096, CELLS // self.blocks)), max(s + 1, int(np.searchsorted(upto, upto[s] + CELLS, "right")) - 1), len(starts))
+            a, z = starts[s], ends[e - 1]
+            cnt = some[a:z]
+            own = np.repeat(self.heads[term[a:z]] - (np.cumsum(cnt) - cnt), cnt) + np.arange(cnt.sum())
+            passages = np.repeat(np.arange(e - s), ends[s:e] - starts[s:e])
+            cell = np.repeat(passages * self.blocks - term[a:z] * self.blocks, cnt) + self.keys[own]
+            bounds = np.bincount(cell, self.peak[own], (e - s) * self.blocks)
+            p, blk = np.divmod(np.flatnonzero(bounds >= threshold - 2e-4), self.blocks)
             num = (ends - starts)[s + p]
             for x in range(0, len(p), 8192):  # the terms of each surviving passage and block
                 pp, bb, nn = p[x : x + 8192], blk[x : x + 8192], num[x : x + 8192]
                 heads = np.cumsum(nn) - nn
                 at = np.repeat(starts[s + pp] - heads, nn) + np.arange(nn.sum())
-                scores = np.add.reduceat(self.by_block[term[at], np.repeat(bb, nn)], heads, axis=0)
+                key = term[at] * self.blocks + np.repeat(bb, nn)
+                row = np.searchsorted(self.keys, key)
+                row[self.keys[np.minimum(row, len(self.keys) - 1)] != key] = len(self.keys)
+                scores = np.add.reduceat(self.cells[row], heads, axis=0)
                 row, k = np.nonzero(scores >= threshold - 1e-4)
                 out.append(np.stack((owner[s + pp[row]], self.place[bb[row] * self.block + k], scores[row, k]), axis=1))
+            s = e
         return np.concatenate(out) if out else none
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", passage: int = 128, threshold: float = 0.5, overlap: float = 0.8, shard: int = 2000, block: int = 8) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", passage: int = 128, threshold: float = 0.5, overlap: float = 0.8, shard: int = 2000, words: int = 500_000, block: int = 8) -> DataFrame:
     """(id_col, item_col, score, question_overlap, answer_overlap): documents that hold a test item.
 
     The best passage score of each document and item with at least ``threshold``, where the document holds
     at least ``overlap`` of the five-word shingles of both the item's question and its answer, or of the whole
     item: a short answer has so few shingles that one changed word would decide. Benchmarks of
-    any size are indexed ``shard`` items at a time; each index is a broadcast of bounded size and is searched
-    with all documents. Null, empty and wordless texts and items match nothing; repeated documents and items
+    any size are indexed at most ``shard`` items (on average, if there are more) and ``words`` words at a time,
+    but at least one item; each index is a broadcast and is searched with all documents. Null, empty and wordless texts and items match nothing; repeated documents and items
     each give their rows once; ids that are null are dropped; an empty side gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").distinct()
-    n = items.count()
-    shards = max(1, -(-n // shard))
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    shards = max(1, -(-n // shard), min(n, -(-size // (8 * words))))
     out = None
     for k in range(shards):
         own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k) if shards > 1 else items
-        index = spark.sparkContext.broadcast(Index(sorted((r[0], r[1]) for r in own.collect()), segment=passage // 2, block=block))
-        found = _search(docs, index, id_col, text_col, item_col, passage, threshold, overlap)
-        out = found if out is None else out.union(found)
+        for some in _packs(sorted((r[0], r[1]) for r in own.collect()), words):
+            index = spark.sparkContext.broadcast(Index(some, segment=passage // 2, block=block))
+            found = _search(docs, index, id_col, text_col, item_col, passage, threshold, overlap)
+            out = found if out is None else out.union(found)
     return out.groupBy(id_col, item_col).agg(*(F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")))
 
 
+def _packs(items: list[tuple[int, str]], words: int) -> list[list[tuple[int, str]]]:
+    """``items`` in order, in lists of at most ``words`` words; one item with more is alone. At least one list."""
+    out, held = [[]], 0
+    for item in items:
+        n = len(split_words(item[1]))
+        if out[-1] and held + n > words:
+            out.append([])
+            held = 0
+        out[-1].append(item)
+        held += n
+    return out
+
+
 def _search(docs, index, id_col, text_col, item_col, passage, threshold, overlap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
