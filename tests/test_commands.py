@@ -52,7 +52,7 @@ def test_scan_all_passes(spark, home):
     with log.open("a") as f:
         f.write(line("three") + '{"half')
     later(log)
-    assert [(r["mode"], r["appended"], r["skipped_dup"]) for r in go()[0]] == [("append", 1, 2)] and texts()[-1] == "three"
+    assert [(r["mode"], r["appended"], r["skipped_dup"]) for r in go()[0]] == [("append", 1, 0)] and texts()[-1] == "three"
     with log.open("a") as f:
         f.write(" broken\n" + line("four"))
     later(log, 2)
@@ -65,6 +65,23 @@ def test_scan_all_passes(spark, home):
     assert [(r["mode"], r["head_moved"], r["superseded_removed"]) for r in go()[0]] == [("reparse", True, 1)] and texts() == ["new"] and go()[0] == []
 
 
+def test_modes_that_nothing_reads_are_warned_of(spark, home):
+    listing = spark.createDataFrame([("codex", "local", "/db.sqlite", "sqlite", None, None)], discovery.LISTING)
+    rows, summary, code = scan_all(spark, Store(spark, f"file://{home}/store"), listing, None)
+    assert code == 0 and rows == [{"kind": "source_report", "source_path": "/db.sqlite", "status": "ok", "warnings": ["source_mode sqlite not implemented"]}] and summary["sources"] == 1
+
+
+def test_roots_of_events_are_found_once(spark, home):
+    (home / "repo/.git").mkdir(parents=True)
+    (home / "repo/src").mkdir()
+    said = json.loads(line("one"))
+    (home / "claude/projects/-w/s.jsonl").write_text("".join(json.dumps(said | {"cwd": c}) + "\n" for c in (str(home / "repo/src"), "/nowhere/at/all")))
+    assert run(spark, home, "scan-all", "--write-store", "--stateless")[0] == 0
+    first = run(spark, home, "roots", "--discover")[1][0]
+    assert {k: first[k] for k in ("asked", "roots", "without_root", "failed")} == {"asked": 2, "roots": 1, "without_root": 1, "failed": 0}
+    assert run(spark, home, "roots", "--discover")[1][0]["asked"] == 1
+
+
 def test_writing_needs_full_events():
     assert (profile_of(None, True), profile_of(None, False), profile_of("full", False)) == ("full", "metadata", "full")
     with pytest.raises(ValueError):
@@ -89,10 +106,15 @@ def test_commands(spark, home):
     assert run(spark, home, "sessions-read", "nonsense")[0] == 1
     assert run(spark, home, "sync-snapshots")[1][-1]["appended"] == 1 and run(spark, home, "sync-snapshots")[1][-1]["unchanged"] == 1
     assert [r["event"]["content"] for r in run(spark, home, "snapshots")[1][:-1]] == ["remember"]
+    code, rows = run(spark, home, "session", f"claude_code/local/{log}/s")
+    assert [r["event"]["content"] for r in rows[:-1]] == ["one", "two"] and rows[-1] == {"kind": "session_summary", "events": 2, "skipped": 0}
     assert run(spark, home, "changes")[1][-1] == {"kind": "changes_summary", "changes": 0, "last_seq": 0, "caught_up": True}
     assert run(spark, home, "gc", "--dry-run")[1][0]["projections"] == 0
     assert run(spark, home, "erase", "session", "s", "--confirm", "t")[0] == 1
     assert run(spark, home, "erase", "session", "s", "--confirm", "s")[1][0]["events"] == 2
+    (home / "f.ndjson").write_text(json.dumps({"source_type": "codex", "source_location": "local", "source_path": "/f", "source_session_id": "f", "seq": 0, "event_type": "message", "content": "made up"}) + "\n")
+    assert run(spark, home, "fixture-append", "--event-file", str(home / "f.ndjson"))[1][0]["appended"] == 1
+    assert run(spark, home, "repair")[1][0] == {"kind": "repair_summary", "projections": 0, "heads": 0}
     assert run(spark, home, "store-path")[1] == [{"kind": "store_path", "path": str(home / "store")}]
     assert run(spark, home, "memory-roots")[1][-1]["kind"] == "memory_roots_summary"
 
@@ -149,6 +171,9 @@ def test_parity_command(spark, home):
     assert code == 0 and rows[0]["matched"] == 1 and rows[-1]["verdict"] == "PASS"
     code, rows = compare(fact | {"input_tokens": 6})
     assert code == 1 and rows[-1]["verdict"] == "FAIL" and [r["fields"] for r in rows if r["kind"] == "must_example"] == [["input_tokens"]]
+    assert run(spark, home, "parity", "--baseline", str(home / "b.ndjson"), "--events", str(home / "e.ndjson"), "--report", str(home / "r.json"))[0] == 1 and json.loads((home / "r.json").read_text())[0]["kind"] == "parity"
+    (home / "b.ndjson").write_text(json.dumps(fact) + "\n")
+    assert run(spark, home, "parity", "--baseline", str(home / "b.ndjson"), "--events", str(home / "e.ndjson"), "--report", str(home / "no/r.json"))[0] == 2
     (home / "b.ndjson").write_text("nonsense\n")
     from tracelake.sources import parity_inputs
 

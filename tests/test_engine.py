@@ -1,7 +1,9 @@
+import functools
 import json
 import os
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
@@ -12,9 +14,9 @@ from tracelake.operators import parity, parse, views
 from tracelake.operators.attribution import attribute
 from tracelake.operators.store import Conflict, Store
 from tracelake.plans.commit_plan import plan
-from tracelake.schema import EVENT, SOURCE
+from tracelake.schema import EVENT, LINE, SOURCE, STATE, TABLES
 from tracelake.sources import catalog, discovery, growing_log, snapshots
-from tracelake.streaming import ingest
+from tracelake.streaming import feed, ingest
 
 
 def one(spark, column, *values):
@@ -71,7 +73,7 @@ def test_envelopes(spark):
 
 
 def lines(spark, kind, path, records):
-    return spark.createDataFrame([(kind, "local", path, k, 0, r if isinstance(r, str) else json.dumps(r)) for k, r in enumerate(records)], "source_type string, source_location string, source_path string, line_no long, byte_start long, line string")
+    return spark.createDataFrame([(kind, "local", path, k, r if isinstance(r, str) else json.dumps(r)) for k, r in enumerate(records)], LINE)
 
 
 def registry(spark, *roots):
@@ -190,7 +192,7 @@ def test_store_life(spark, tmp_path):
         store.apply_projection(sources(spark, "/other", "append"), batch(spark, "/p", ["z"]))
     with pytest.raises(ValueError):
         store.erase("session", "s", confirm="t")
-    assert store.erase("session", "s", confirm="s") == 2 and store.visible().count() == 0
+    assert store.erase("session", "s", confirm="s")["events"] == 2 and store.visible().count() == 0
     assert put("append", ["n1", "n2", "n3"]).skipped_erased == 3
     put("reparse", [], "t4")
     assert store.table("current_head").count() == 1
@@ -207,7 +209,7 @@ def test_snapshots(spark, tmp_path):
     f.write_text("one")
     listing = spark.createDataFrame([("codex", "local", str(f), "snapshot_file", None, "memory")] * 2, discovery.LISTING)
     sync = lambda: snapshots.sync(store, snapshots.read(spark, listing, [str(f)]), "2026-01-01T00:00:00Z")
-    assert sync() == {"sources": 1, "changed": 1, "unchanged": 0, "appended": 1} and sync()["changed"] == 0
+    assert sync() == {"sources": 1, "changed": 1, "unchanged": 0, "appended": 1, "failed": 0} and sync()["changed"] == 0
     f.write_text("two")
     assert sync()["appended"] == 1
     latest = views.latest_snapshots(store.table("raw_events"))
@@ -240,12 +242,17 @@ def test_growing_files(spark, tmp_path):
         h.write(b":1}\n{bad\n")
     os.utime(f, ns=(cursor["mtime"] + 10**9,) * 2)
     spark.dataSource.register(growing_log.GrowingLog)
-    read = lambda c: [tuple(r) for r in spark.read.format("growing_log").option("path", str(tmp_path)).option("cursors", json.dumps(c)).load().select("line_no", "byte_start", "line", "control").orderBy("line_no").collect()]
-    assert read({}) == [(0, 0, '{"a":"é"}', None), (1, 11, '{"b":1}', None), (2, 19, "{bad", None)]
-    assert read({str(f): cursor | {"lines": 1}}) == [(1, 11, None, "poison")]
+    read = lambda c, **o: [tuple(r) for r in spark.read.format("growing_log").options(**o).option("path", str(tmp_path)).option("cursors", json.dumps(c)).load().select("byte_start", "byte_end", "line", "control").orderBy("byte_start").collect()]
+    whole = [(0, 11, '{"a":"é"}', None), (11, 19, '{"b":1}', None), (19, 24, "{bad", None)]
+    assert read({}) == whole and read({str(f): cursor}) == whole[1:]
+    assert all(read({}, split=n) == whole for n in range(1, 26))  # a line belongs to the range that it begins in
+    new = lines(spark, "codex", str(f), ['{"b":1}', "{bad"]).unionByName(lines(spark, "codex", "/good", ["{}", " "]))
+    assert [r.source_path for r in parse.unpoisoned(new).collect()] == ["/good"] * 2
     f.write_bytes(b"{}\n")
     os.utime(f, ns=(cursor["mtime"] + 2 * 10**9,) * 2)
-    assert growing_log.scan(str(f), cursor)["change"] == "rollback"
+    s = growing_log.scan(str(f), cursor)
+    assert (s["change"], s["cursor"]["safe_offset"]) == ("rollback", 3) and growing_log.scan(str(f), s["cursor"])["change"] == "none"
+    assert read({str(f): cursor})[0][2:] == (growing_log.prefix_hash(str(f), 3), "rollback")
     growing_log.save_cursors(str(tmp_path / "c.json"), {"k": 1})
     assert growing_log.load_cursors(str(tmp_path / "c.json")) == ({"k": 1}, None) and growing_log.load_cursors(str(tmp_path / "none")) == ({}, None)
 
@@ -264,9 +271,188 @@ def test_streaming_ingest(spark, tmp_path):
         assert q.exception() is None
         return [r.content for r in views.pull(store.visible()).collect()]
 
+    heads = lambda: [tuple(r)[3:] for r in store.table("current_head").collect()]
     assert run() == ["one", "two"]
     f.write_text(line("one") + line("two") + line("three"))
     assert run() == ["one", "two", "three"] and run() == ["one", "two", "three"]
+    # two rewrites that end at the same byte are two, and a half line after one is none
+    f.write_text(line("AAA"))
+    assert run() == ["AAA"] and heads() == [(1, 0)]
+    with f.open("a") as h:
+        h.write('{"half')
+    assert run() == ["AAA"] and heads() == [(1, 0)]
+    f.write_text(line("AAA") + line("bbb"))
+    assert run() == ["AAA", "bbb"]
+    f.write_text(line("CCC"))
+    assert run() == ["CCC"] and heads() == [(2, 0)] and [r.events for r in store.table("projections").orderBy("source_revision").collect()] == [3, 2, 1]
+    # without its state a file is read from its start, and nothing is stored twice
+    store._publish(store.manifest(), {"parser_state": []})
+    f.write_text(line("CCC") + line("ddd"))
+    assert run() == ["CCC", "ddd"] and store.parser_state().first().next_seq == 2
+
+
+def test_batches_parse_as_the_whole_does(spark):
+    meta = lambda i: {"type": "session_meta", "payload": {"id": i, "cwd": f"/{i}"}}
+    turn = {"type": "turn_context", "payload": {"model": "M", "effort": "low"}}
+    rows = [count(5, 1, 2), meta("a"), turn, count(9, 3, 2), count(20, 3, 4), {"type": "response_item", "payload": {"type": "message", "role": "user", "content": "q"}}, meta("a"), count(25, 3, 4), meta("b"), count(7, 0, 1), count(8, 0, 1)]
+    said = [{"sessionId": "s", "message": {"role": "user", "content": f"t{k}"}} for k in range(len(rows))]
+    both = lines(spark, "codex", "/c.jsonl", rows).unionByName(lines(spark, "claude_code", "/d.jsonl", said))
+    order = ["source_path", "seq"]
+    whole = [tuple(r) for r in parse.events(both, registry(spark)).orderBy(*order).collect()]
+    for cut in (3, 4, 8):
+        first, then = both.where(f"byte_start < {cut}"), both.where(f"byte_start >= {cut}")
+        none = spark.createDataFrame([], STATE)
+        ends = both.groupBy(*SOURCE).agg(F.lit(cut).alias("end_byte"))
+        one_ = parse.events(first, registry(spark), state=none)
+        state = spark.createDataFrame(parse.end_state(first, ends, none, one_).collect(), STATE)
+        two = parse.events(then, registry(spark), state=state)
+        assert [tuple(r) for r in one_.unionByName(two).orderBy(*order).collect()] == whole
+
+
+def test_lines_with_repeated_keys(spark):
+    twice = '{"sessionId":"x","sessionId":"s","message":{"role":"user","content":"old","content":"new"}}'
+    own = lines(spark, "claude_code", "/t.jsonl", [twice, '{"a":NaN}'])
+    assert [(r.source_session_id, r.content) for r in parse.events(own, registry(spark)).collect()] == [("s", "new")]
+    assert tuple(parse.skipped(own).first())[3:] == (2, 1)
+
+
+def files_below(path):
+    return [p for p in path.rglob("*") if p.is_file()]
+
+
+def test_erased_rows_leave_no_file(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store", buckets=4)
+    for path in ("/p", "/q"):
+        store.apply_projection(sources(spark, path, "append"), batch(spark, path, [f"secret {path}", "other"]))
+    store.apply_projection(sources(spark, "/p", "reparse", "t"), batch(spark, "/p", ["secret /p again", "b"]))
+    assert not list((tmp_path / "store/.staged").glob("*"))
+    holds = lambda text: any(text.encode() in p.read_bytes() for p in files_below(tmp_path / "store"))
+    assert holds("secret /p again") and holds("secret /q")
+    assert store.erase("source_path", "/p", confirm="/p") == {"events": 2, "keys_destroyed": 0}
+    assert not holds("secret /p") and holds("secret /q") and store._versions() == [store.version()]
+    assert [r.source_path for r in views.distinct_roots(store.table("raw_events").withColumn("project_root", F.col("source_path"))).select(F.col("project_root").alias("source_path")).collect()] == ["/q"]
+
+
+def test_a_commit_reads_the_buckets_of_its_sources(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store", buckets=8, most_folders=3)
+    store.append_events(functools.reduce(DataFrame.unionByName, (batch(spark, f"/p{k}", ["x"]) for k in range(12))))
+    one = store._buckets_of(sources(spark, "/p3", "append"))
+    assert len(one) == 1 and 1 <= len(store.table("raw_events", buckets=one).inputFiles()) < len(store.table("raw_events").inputFiles())
+    before = set(store.manifest()["tables"]["raw_events"])
+    for k in range(3):  # small folders of a bucket are put together now and then
+        store.apply_projection(sources(spark, "/p3", "append"), batch(spark, "/p3", ["x"] * (k + 2)))
+    after = set(store.manifest()["tables"]["raw_events"])
+    assert {f for f in before ^ after if int(f[-1]) not in one} == set() and sum(int(f[-1]) in one for f in after) == 2
+    assert store.visible().where("source_path = '/p3'").count() == 4 and store.manifest()["top"] == store.table("raw_events").agg(F.max("offset")).first()[0]
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    base = store.manifest()
+    store._publish(base, {})
+    with pytest.raises(Conflict):
+        store._publish(base, {})
+    assert not list((tmp_path / "store/manifests").glob(".draft*")) and store.version() == 1
+
+
+def test_the_first_of_a_batch_wins_and_replacing_needs_a_token(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    two = batch(spark, "/p", ["z first"]).unionByName(batch(spark, "/p", ["a second"])).coalesce(1)
+    s = store.apply_projection(sources(spark, "/p", "append"), two).first()
+    assert (s.appended, s.skipped_dup) == (1, 1) and store.visible().first().content == "z first"
+    with pytest.raises(ValueError, match="token"):
+        store.apply_projection(sources(spark, "/p", "rollback"), batch(spark, "/p", ["tail"]))
+
+
+def test_contents_are_sealed_under_group_keys(spark, tmp_path):
+    path, key = f"file://{tmp_path}/store", bytes(range(32))
+    store = Store(spark, path, master_key=key)
+    for p in ("/p", "/q"):
+        store.apply_projection(sources(spark, p, "append"), batch(spark, p, ["open sesame", None]))
+    assert [(r.content, r.broken) for r in store.visible().orderBy("offset").collect()] == [("open sesame", False), (None, False)] * 2
+    assert not any(b"open sesame" in p.read_bytes() for p in files_below(tmp_path / "store"))
+    assert store.table("data_keys").count() == 2 and "000102" not in store.visible()._jdf.queryExecution().toString().lower()
+    # another key opens nothing, and a page over broken rows still ends somewhere
+    other = Store(spark, path, master_key=bytes(32))
+    page = views.pull(other.visible())
+    assert views.whole(page).count() == 2 and views.page_end(page).first()[0] == store.manifest()["top"]
+    got = other.session("claude_code", "local", "/p", "s")
+    assert got.count() == 2 and views.skipped(got) == 1 and views.skipped(store.session("claude_code", "local", "/p", "s")) == 0
+    assert Store(spark, path).visible().where("broken").count() == 2
+    assert store.erase("source_path", "/p", confirm="/p") == {"events": 2, "keys_destroyed": 1} and store.table("data_keys").first().source_path == "/q"
+    store.apply_projection(sources(spark, "/q", "append"), batch(spark, "/q", ["open sesame", None, "more"]))
+    assert store.table("data_keys").count() == 1 and [r.content for r in store.visible().orderBy("offset").collect()] == ["open sesame", None, "more"]
+
+
+def test_a_session_is_named_by_its_whole_key(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    own = batch(spark, "/p", ["a"])
+    both = own.unionByName(own.withColumns({"source_type": F.lit("codex"), "content": F.lit("b")})).unionByName(own.withColumns({"source_location": F.lit("wsl:U"), "content": F.lit("c")}))
+    store.append_events(both)
+    read = lambda *k: [r.content for r in store.session(*k, "/p", "s").collect()]
+    assert read("claude_code", "local") == ["a"] and read("codex", "local") == ["b"] and read("claude_code", "wsl:U") == ["c"]
+
+
+def test_repair_fills_what_is_missing(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.apply_projection(sources(spark, "/p", "append"), batch(spark, "/p", ["a", "b"]))
+    store.apply_projection(sources(spark, "/p", "rollback", "t"), batch(spark, "/p", ["c"]))
+    store._publish(store.manifest(), {"projections": [], "current_head": []})
+    assert store.repair() == {"projections": 2, "heads": 1} and store.repair() == {"projections": 0, "heads": 0}
+    assert [r.content for r in store.visible().collect()] == ["c"] and {(r.origin, r.events) for r in store.table("projections").collect()} == {("unknown", 2), ("unknown", 1)}
+
+
+def test_a_copy_follows_the_feed(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    put = lambda path, reason, texts, token=None: store.apply_projection(sources(spark, path, reason, token), batch(spark, path, texts))
+    copy, seq, offset = spark.createDataFrame([], TABLES["raw_events"]), 0, 0
+
+    def go():
+        nonlocal copy, seq, offset
+        new, seq, offset = feed.follow(store, copy, after_seq=seq, after_offset=offset)
+        copy = spark.createDataFrame(new.collect(), TABLES["raw_events"])
+        assert sorted(r.content for r in copy.collect()) == sorted(r.content for r in store.visible().collect())
+        return sorted(r.content for r in copy.collect())
+
+    put("/p", "append", ["a", "b"])
+    put("/q", "append", ["x"])
+    assert go() == ["a", "b", "x"]
+    put("/p", "reparse", ["A"], "t1")
+    put("/q", "append", ["x", "y"])
+    assert go() == ["A", "x", "y"] and go() == ["A", "x", "y"]
+    store.erase("source_path", "/q", confirm="/q")
+    assert go() == ["A"]
+
+
+def test_marks_and_misses(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    assert not store.is_backfilled() and store.set_backfilled(True) and store.is_backfilled()
+    miss = lambda path, how, at: store.record_misses(spark.createDataFrame([(path, how, at)], TABLES["project_root_probe"]))
+    miss("/a", "unreachable", 1), miss("/a", "none", 2), miss("/b", "none", 3)
+    assert {tuple(r) for r in store.table("project_root_probe").collect()} == {("/a", "none", 2), ("/b", "none", 3)}
+
+
+def test_what_cannot_be_asked_is_not_absent(tmp_path, monkeypatch):
+    assert discovery.probe(str(tmp_path / "no")) == ("absent", None) and discovery.probe(str(tmp_path / "no"), str(tmp_path / "none")) == ("absent", None)
+    ask = os.stat
+
+    def deaf(path, *a, **k):
+        if str(path) == "/anchor":
+            raise PermissionError(path)
+        return ask(path, *a, **k)
+
+    monkeypatch.setattr(discovery.os, "stat", deaf)
+    assert discovery.probe("/anchor/x", "/anchor") == ("unknown", "/anchor: PermissionError") and discovery.probe("/anchor/x") == ("absent", None)
+    got = discovery.discover_roots([" ", "/anchor", str(tmp_path)], home=str(tmp_path))
+    assert got["failed"] == ["/anchor"] and got["first_failure"] == "/anchor: PermissionError"
+
+
+@pytest.mark.parametrize("mark", [".hg", "CLAUDE.md", "AGENTS.md", "go.mod"])
+def test_markers_of_roots(tmp_path, mark):
+    (tmp_path / "p/sub").mkdir(parents=True)
+    (tmp_path / "p" / mark).write_text("")
+    (tmp_path / "p/sub/Makefile").write_text("")
+    assert discovery.project_root(str(tmp_path / "p/sub"), str(tmp_path)) == (str(tmp_path / "p"), "marker")
 
 
 def test_parity(spark):
@@ -278,7 +464,9 @@ def test_parity(spark):
     files = spark.createDataFrame([("/q", 1, 2)], "source_path string, old_size long, new_size long")
     got = parity.report(parity.align(old, new, files))
     assert {c: got.first()[c] for c in parity.COUNTS} == {"facts": 4, "matched": 2, "must_mismatch": 1, "advisory": 1, "missing": 1, "growth": 1, "unknown_extra": 0, "extra": 1}
-    assert parity.exit_code(got) == 1 and parity.exit_code(got.limit(0)) == 0
+    assert parity.exit_code(got) == 1 and parity.exit_code(got.limit(0)) == 0 and parity.exit_code(got.limit(0), report_lost=True) == 2
+    extra = parity.report(parity.align(old.limit(0), new))
+    assert extra.first()["unknown_extra"] == 4 and parity.exit_code(extra) == parity.exit_code(extra, report_lost=True) == 1
 
 
 def test_tombstones_are_equi_joins(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import base64
 import json
 import os
 import sys
@@ -43,8 +44,9 @@ def default_store() -> str:
 
 
 def _store(a: argparse.Namespace, spark: SparkSession) -> Store:
-    path = a.store or default_store()
-    return Store(spark, path if "://" in path else f"file://{os.path.abspath(path)}")
+    """The store, its contents sealed if TRACELAKE_KEY holds 32 bytes in base64."""
+    path, key = a.store or default_store(), os.environ.get("TRACELAKE_KEY")
+    return Store(spark, path if "://" in path else f"file://{os.path.abspath(path)}", master_key=base64.b64decode(key) if key else None)
 
 
 def discover(a, spark, emit) -> int:
@@ -77,16 +79,17 @@ def pull(a, spark, emit) -> int:
     """Pages of at most 1000 rows; the summary tells the last offset and whether the end was reached."""
     store = _store(a, spark)
     seen = store.visible(current=a.projection == "current")
-    top = store.table("raw_events").agg(F.max("offset")).first()[0] or 0
+    top = store.manifest().get("top", 0)
     at, n, done = a.since, 0, False
     while not done and (a.limit is None or n < a.limit):
         size = 1000 if a.limit is None else min(1000, a.limit - n)
-        got = [r["j"] for r in views.pull(seen, at, size).select(F.to_json(F.struct("offset", F.struct(*EVENT.names).alias("event"))).alias("j")).collect()]  # a page
-        for j in got:
-            emit({"kind": "pulled"} | json.loads(j))
-        n += len(got)
-        at = json.loads(got[-1])["offset"] if got else at
-        done = len(got) < size
+        page = views.pull(seen, at, size).select("offset", "broken", F.to_json(F.struct("offset", F.struct(*EVENT.names).alias("event"))).alias("j")).collect()  # a page
+        for r in page:
+            if not r["broken"]:
+                emit({"kind": "pulled"} | json.loads(r["j"]))
+                n += 1
+        at = page[-1]["offset"] if page else at  # past broken rows too
+        done = len(page) < size
     emit({"kind": "pull_summary", "since": a.since, "last_offset": at, "events": n, "store_max_offset": top, "caught_up": done})
     return 0
 
@@ -110,7 +113,7 @@ def session_spec(text: str) -> tuple[str, str, str, str]:
 def sessions_read(a, spark, emit) -> int:
     rows = [(*session_spec(s), k) for k, s in enumerate(a.session)]
     specs = spark.createDataFrame(rows, "source_type string, source_location string, source_path string, source_session_id string, list_pos int")
-    df = views.read_sessions(_store(a, spark).visible(), specs, a.max_events + 1).select(*EVENT.names)
+    df = views.read_sessions(views.whole(_store(a, spark).visible()), specs, a.max_events + 1).select(*EVENT.names)
     n = 0
     for r in df.select(F.to_json(F.struct(*EVENT.names)).alias("j")).toLocalIterator():
         if n == a.max_events:
@@ -121,9 +124,17 @@ def sessions_read(a, spark, emit) -> int:
     return 0
 
 
+def session_whole(a, spark, emit) -> int:
+    """One session of the head, tombstones ignored, and how many of its rows couldn't be opened."""
+    df = _store(a, spark).session(*session_spec(a.session))
+    n = _each(views.whole(df).select(*EVENT.names), emit, "event", "event")
+    emit({"kind": "session_summary", "events": n, "skipped": views.skipped(df)})
+    return 0
+
+
 def show_snapshots(a, spark, emit) -> int:
     store = _store(a, spark)
-    latest = views.latest_snapshots(store.table("raw_events"), store.table("tombstones"))
+    latest = views.whole(views.latest_snapshots(store.events(), store.table("tombstones")))
     paths = [r["source_path"] for r in latest.select("source_path").distinct().collect()]  # a name a source
     asked = spark.createDataFrame([(p, discovery.probe(p)[0]) for p in paths], "source_path string, status string")
     n = _each(views.active_snapshots(latest, asked).select(*EVENT.names), emit, "snapshot", "event")
@@ -138,19 +149,23 @@ def sync_snapshots(a, spark, emit) -> int:
     bad = sorted({*bad, *lost})
     known = spark.createDataFrame(found, discovery.IDENTITY)
     tops = store.table("project_root_registry").select("root_path").union(known.select("project_root")).distinct()
+    for r in tops.collect():  # a registered root each
+        status, why = discovery.probe(r.root_path)
+        if status == "unknown":
+            emit({"kind": "sync_unreachable", "reason": f"{r.root_path} (project root): {why}"})
     own = discovery.enumerate_snapshots(listing, discovery.project_snapshots(tops), known)
     asked = [(r.source_path, discovery.probe(r.source_path)) for r in own.select("source_path").distinct().collect()]  # a name a file
     there = [p for p, (status, _) in asked if status == "file"]
     unknown = [(p, why) for p, (status, why) in asked if status == "unknown"]
-    out = {"sources": 0, "changed": 0, "unchanged": 0, "appended": 0}
+    out = {"sources": 0, "changed": 0, "unchanged": 0, "appended": 0, "failed": 0}
     if there:
         keep = spark.createDataFrame([(p,) for p in there], "source_path string")
         observed = a.now or time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
         out = snapshots.sync(store, snapshots.read(spark, own.join(keep, "source_path", "left_semi").select(*own.columns), there), observed)
     for p, why in [*unknown, *((b, "unreadable") for b in bad)]:
         emit({"kind": "sync_unreachable", "reason": f"{p}: {why}"})
-    emit({"kind": "sync_snapshots_summary"} | out | {"failed": 0, "unreachable": len(unknown) + len(bad)})
-    return 0
+    emit({"kind": "sync_snapshots_summary"} | out | {"unreachable": len(unknown) + len(bad)})
+    return 2 if out["failed"] else 0
 
 
 def roots(a, spark, emit) -> int:
@@ -161,6 +176,8 @@ def roots(a, spark, emit) -> int:
             store.register_roots(spark.createDataFrame([found], "root_path string, root_source string"), now_ms=int(time.time() * 1000))
         else:
             emit({"kind": "without_root", "path": path})
+    if a.discover:
+        _discover_roots(store, emit)
     if a.identities:
         emit({"kind": "identity_sweep"} | identities.sweep(store, seconds=a.identities))
     report = views.root_report(store.table("project_root_registry"), store.table("project_identity"), store.table("project_identity_probe"))
@@ -169,6 +186,20 @@ def roots(a, spark, emit) -> int:
     return 0
 
 
+def _discover_roots(store: Store, emit: Emit, *, again_ms: int = 7 * 24 * 3600 * 1000) -> None:
+    """Register the roots above the directories that events name; those looked for in vain within a week are passed over."""
+    now = int(time.time() * 1000)
+    fresh = store.table("project_root_probe").where((F.col("outcome") == "none") & (F.col("last_probe_ms") > now - again_ms)).select(F.col("path").alias("project_root"))
+    asked = [r["project_root"] for r in views.distinct_roots(store.table("raw_events")).join(fresh, "project_root", "left_anti").collect()]  # a row a project
+    found = discovery.discover_roots(asked)
+    if found["roots"]:
+        store.register_roots(store.spark.createDataFrame(found["roots"], "root_path string, root_source string"), now_ms=now)
+    misses = [(p, "none", now) for p in found["without_root"]] + [(p, "unreachable", now) for p in found["failed"]]
+    if misses:
+        store.record_misses(store.spark.createDataFrame(misses, "path string, outcome string, last_probe_ms long"))
+    emit({"kind": "root_discovery", "asked": len(asked), "roots": len(found["roots"]), "without_root": len(found["without_root"]), "failed": len(found["failed"]), "first_failure": found["first_failure"]})
+
+
 def memory_roots(a, spark, emit) -> int:
     found = discovery.memory_roots()
     for kind, path, status in found:
@@ -197,19 +228,44 @@ def gc(a, spark, emit) -> int:
 
 
 def erase(a, spark, emit) -> int:
-    emit({"kind": "erase_summary", "scope": a.scope, "key": a.key, "events": _store(a, spark).erase(a.scope, a.key, confirm=a.confirm, now_ms=int(time.time() * 1000))})
+    emit({"kind": "erase_summary", "scope": a.scope, "key": a.key} | _store(a, spark).erase(a.scope, a.key, confirm=a.confirm, now_ms=int(time.time() * 1000)))
+    return 0
+
+
+def repair(a, spark, emit) -> int:
+    emit({"kind": "repair_summary"} | _store(a, spark).repair())
+    return 0
+
+
+def fixture_append(a, spark, emit) -> int:
+    """Append synthetic events, a JSON object a line, to a store that has to be named."""
+    if not a.store:
+        raise ValueError("fixture-append needs --store")
+    rows = spark.read.schema(EVENT).option("mode", "FAILFAST").json(a.event_file)
+    stats = _store(a, spark).append_events(rows)
+    emit({"kind": "fixture_append_summary", "appended": stats.agg(F.sum("appended")).first()[0] if stats else 0})
     return 0
 
 
 def compare(a, spark, emit) -> int:
-    """1 if facts differ or are missing, 2 for unexplained extras only."""
+    """1 if facts differ, are missing or unexplained ones are there; 2 if the report couldn't be written."""
     files = parity_inputs.sizes(spark, a.files) if a.files else None
     aligned = parity.align(parity_inputs.baseline(spark, a.baseline), parity_inputs.emitted(spark, a.events), files)
     report = parity.report(aligned)
-    _each(report.orderBy("combo"), emit, "parity")
+    rows: list[dict] = []
+    both = lambda row: (emit(row), rows.append(row))[0]
+    _each(report.orderBy("combo"), both, "parity")
     for field in ("must", "advisory"):
-        _each(aligned.where(F.size(field) > 0).orderBy(*parity.BUCKET, "ordinal").limit(a.max_show).select(*parity.BUCKET, "ordinal", F.col(field).alias("fields")), emit, f"{field}_example")
-    code = parity.exit_code(report)
+        _each(aligned.where(F.size(field) > 0).orderBy(*parity.BUCKET, "ordinal").limit(a.max_show).select(*parity.BUCKET, "ordinal", F.col(field).alias("fields")), both, f"{field}_example")
+    lost = False
+    if a.report:
+        try:
+            with open(a.report, "w", encoding="utf-8") as f:
+                json.dump(rows, f, ensure_ascii=False, indent=1)
+        except OSError as e:
+            print(f"{a.report}: {e}", file=sys.stderr)
+            lost = True
+    code = parity.exit_code(report, report_lost=lost)
     wrong = report.agg(F.coalesce(F.sum("must_mismatch"), F.lit(0))).first()[0]
     emit({"kind": "parity_summary", "verdict": "FAIL" if wrong else "PASS", "exit_code": code})
     return code
@@ -232,15 +288,18 @@ def parser() -> argparse.ArgumentParser:
     add("pull", pull, ("--since", number(0)), ("--projection", {"choices": ["all", "current"], "default": "all"}), ("--limit", number(None)))
     add("sessions-recent", sessions_recent, ("--limit", number(20)), ("--since-ms", number(None)))
     add("sessions-read", sessions_read, ("session", {"nargs": "+"}), ("--max-events", number(50_000)))
+    add("session", session_whole, ("session", {}))
     add("snapshots", show_snapshots)
     add("sync-snapshots", sync_snapshots, ("--now", {}))
-    add("roots", roots, ("--register", {"nargs": "*"}), ("--identities", {"type": float, "metavar": "SECONDS"}))
+    add("roots", roots, ("--register", {"nargs": "*"}), ("--discover", flag), ("--identities", {"type": float, "metavar": "SECONDS"}))
     add("memory-roots", memory_roots)
     add("store-path", store_path)
     add("changes", changes, ("--since-seq", number(0)), ("--limit", number(1000)))
     add("gc", gc, ("--dry-run", flag), ("--strict", flag))
     add("erase", erase, ("scope", {"choices": sorted(views.SCOPES)}), ("key", {}), ("--confirm", {"required": True}))
-    add("parity", compare, ("--baseline", {"required": True}), ("--events", {"required": True}), ("--files", {}), ("--max-show", number(20)))
+    add("parity", compare, ("--baseline", {"required": True}), ("--events", {"required": True}), ("--files", {}), ("--report", {}), ("--max-show", number(20)))
+    add("repair", repair)
+    add("fixture-append", fixture_append, ("--event-file", {"required": True}))
     return top
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
+def allow_repeated_keys(spark: SparkSession) -> None:
+    """Of equal keys in one object the last counts, from now on in this session: Spark reads the setting when a plan runs, and without it such text is no JSON."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def parse(text: Column) -> Column:
-    """A variant, or null if the text isn't JSON."""
+    """A variant, or null if the text isn't JSON. See :func:`allow_repeated_keys`."""
     return F.try_parse_json(text)
 
 

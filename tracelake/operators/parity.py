@@ -58,7 +58,7 @@ def report(aligned: DataFrame) -> DataFrame:
     )
 
 
-def exit_code(totals: DataFrame) -> int:
-    """1 if facts differ or are missing, 2 if only unexplained extras are there, else 0."""
+def exit_code(totals: DataFrame, *, report_lost: bool = False) -> int:
+    """1 if facts differ, are missing or unexplained ones are there; else 2 if the report couldn't be written, else 0."""
     r = totals.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("must_mismatch", "missing", "unknown_extra"))).first()
-    return 1 if r["must_mismatch"] or r["missing"] else 2 if r["unknown_extra"] else 0
+    return 1 if r["must_mismatch"] or r["missing"] or r["unknown_extra"] else 2 if report_lost else 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import ids, json, paths
 from tracelake.functions.time import trimmed
 from tracelake.operators.attribution import attribute
-from tracelake.schema import EVENT, EVENT_KEY_VERSION, SCHEMA_VERSION, SOURCE
+from tracelake.schema import EVENT, EVENT_KEY_VERSION, SCHEMA_VERSION, SOURCE, STATE
 
 _FIELDS = "event_type string, actor string, content string, model string, effort string, usage struct<input:long,output:long,cache_creation:long,cache_read:long>, message_id string, request_id string"
 
@@ -28,8 +30,9 @@ def _some(text: Column) -> Column:
 
 def read_lines(lines: DataFrame) -> DataFrame:
     """Non-blank ``lines`` with v, the line as a variant: null where it isn't JSON."""
+    json.allow_repeated_keys(lines.sparkSession)
     own = lines.withColumn("line", trimmed(F.col("line"))).where("line <> ''")
-    return own.withColumn("v", json.parse(F.col("line")))
+    return own.withColumn("v", json.parse(F.col("line")))  # the one judge of what is JSON
 
 
 def skipped(lines: DataFrame) -> DataFrame:
@@ -37,6 +40,11 @@ def skipped(lines: DataFrame) -> DataFrame:
     return read_lines(lines).groupBy(*SOURCE).agg(F.count("*").alias("lines"), F.count_if(F.col("v").isNull()).alias("skipped"))
 
 
+def unpoisoned(lines: DataFrame) -> DataFrame:
+    """Lines of sources without a bad line: a read that goes on from a cursor takes all of a source or nothing."""
+    return lines.join(skipped(lines).where("skipped = 0").select(*SOURCE), SOURCE, "left_semi")
+
+
 def claude(lines: DataFrame) -> DataFrame:
     """Up to three events a line: thinking, message, usage. isMeta hides the first two."""
     v = F.col("v")
@@ -60,7 +68,7 @@ def claude(lines: DataFrame) -> DataFrame:
     )
     session = F.coalesce(json.string(v, "$.sessionId"), json.string(v, "$.session_id"), paths.file_stem(F.col("source_path")))
     own = read_lines(lines).where("v is not null").withColumns(first).withColumns(second)
-    own = own.select(*SOURCE, "line_no", "line", session.alias("source_session_id"), json.string(v, "$.cwd").alias("cwd"), json.string(v, "$.timestamp").alias("occurred_at"), events.alias("events"))
+    own = own.select(*SOURCE, "byte_start", "line", session.alias("source_session_id"), json.string(v, "$.cwd").alias("cwd"), json.string(v, "$.timestamp").alias("occurred_at"), events.alias("events"))
     return own.select("*", F.posexplode("events").alias("slot", "e")).drop("events")
 
 
@@ -90,8 +98,12 @@ def cumulative_to_delta(rows: DataFrame, *, file: list[str], order: str, totals:
     return rows.withColumns({f"delta_{c}": F.greatest(F.col(c) - F.coalesce(F.last(c, True).over(before), F.lit(0)), F.lit(0)) for c in totals})
 
 
-def codex(lines: DataFrame) -> DataFrame:
-    """Events of response items and token counts; meta lines only carry state."""
+_TOTALS = ["total_input", "total_cached", "total_output"]
+_CARRIED = ["session", "model", "effort", "cwd"]
+
+
+def _codex_rows(lines: DataFrame, state: DataFrame | None) -> DataFrame:
+    """Lines with what they say and what is carried to them. A state is a row before its file's lines."""
     v = F.col("v")
     p = lambda path: f"$.payload.{path}"
     kind, inner = json.string(v, "$.type"), json.string(v, p("type"))
@@ -100,19 +112,45 @@ def codex(lines: DataFrame) -> DataFrame:
     number = lambda block: [json.count(v, p(f"info.{block}.{f}")) for f in ("input_tokens", "cached_input_tokens", "output_tokens")]
     counted = F.coalesce((kind == "event_msg") & (inner == "token_count"), F.lit(False))
     total, last = json.at(v, p("info.total_token_usage")).isNotNull() & counted, json.at(v, p("info.last_token_usage")).isNotNull() & counted
-    state = {
+    said = {
         "session": F.when(meta, json.string(v, p("id"))),
         "model": F.when(turn, F.coalesce(json.string(v, p("model")), json.string(v, p("model_slug")))),
         "effort": F.when(turn, F.coalesce(json.string(v, p("effort")), json.string(v, p("collaboration_mode.reasoning_effort")))),
         "cwd": F.when(meta | turn, json.string(v, p("cwd"))),
-        "stem": paths.file_stem(F.col("source_path")),
         "kind": kind, "inner": inner, "counted": counted, "last": last,
-        **{f"total_{n}": F.when(total, c) for n, c in zip(("input", "cached", "output"), number("total_token_usage"), strict=True)},
+        **{c: F.when(total, x) for c, x in zip(_TOTALS, number("total_token_usage"), strict=True)},
         **{f"last_{n}": F.when(last, c) for n, c in zip(("input", "cached", "output"), number("last_token_usage"), strict=True)},
     }
-    own = own.withColumns(state)
-    own = carry_forward(own, file=SOURCE, order="line_no", session="session", columns=["session", "model", "effort", "cwd"], start=F.col("stem"))
-    own = cumulative_to_delta(own, file=SOURCE, order="line_no", totals=["total_input", "total_cached", "total_output"])
+    own = own.withColumns(said)
+    if state is not None:
+        known = state.join(lines.select(*SOURCE).distinct(), SOURCE, "left_semi")
+        before = {"byte_start": F.lit(-1).cast("long"), "counted": F.lit(False), "last": F.lit(False)}
+        own = own.unionByName(known.select(*SOURCE, *_CARRIED, *_TOTALS).withColumns(before), allowMissingColumns=True)
+    own = own.withColumn("stem", paths.file_stem(F.col("source_path")))
+    return carry_forward(own, file=SOURCE, order="byte_start", session="session", columns=_CARRIED, start=F.col("stem"))
+
+
+def end_state(lines: DataFrame, ends: DataFrame, state: DataFrame, made: DataFrame) -> DataFrame:
+    """The parsers' state (schema STATE) after ``lines``, for each source of ``ends`` (source key, end_byte).
+
+    lines have to follow ``state`` without a gap. made: the events that :func:`events` gave for them.
+    """
+    rows = _codex_rows(lines.where("source_type = 'codex'"), state)
+    inside = W.partitionBy(*SOURCE, "segment").orderBy("byte_start").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({c: F.last(c, True).over(inside) for c in _TOTALS})
+    carried = rows.groupBy(*SOURCE).agg(F.max_by(F.struct(*_CARRIED, *_TOTALS), "byte_start").alias("_c"))
+    seq = made.groupBy(*SOURCE).agg((F.max("seq") + 1).alias("_seq"))
+    own = ends.select(*SOURCE, "end_byte").join(carried, SOURCE, "left").join(seq, SOURCE, "left").join(state.select(*SOURCE, "next_seq"), SOURCE, "left")
+    own = own.withColumn("next_seq", F.coalesce("_seq", "next_seq", F.lit(0)))
+    full = {c: F.col(f"_c.{c}") for c in (*_CARRIED, *_TOTALS)}
+    return own.select(*((full.get(f.name, F.col(f.name))).cast(f.dataType).alias(f.name) for f in STATE))
+
+
+def codex(lines: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Events of response items and token counts; meta lines only carry state."""
+    v = F.col("v")
+    p = lambda path: f"$.payload.{path}"
+    own = cumulative_to_delta(_codex_rows(lines, state), file=SOURCE, order="byte_start", totals=_TOTALS)
     got = lambda n: F.when(F.col("last"), F.col(f"last_{n}")).otherwise(F.col(f"delta_total_{n}"))
     cached = F.least(got("cached"), got("input"))
     usage = F.struct((got("input") - cached).alias("input"), got("output").alias("output"), F.lit(0).cast("long").alias("cache_creation"), cached.alias("cache_read"))
@@ -130,25 +168,26 @@ def codex(lines: DataFrame) -> DataFrame:
         .when(F.col("counted") & grew, _event("usage", F.lit("assistant"), None, model, effort, usage))
     )
     own = own.withColumns(texts).withColumn("e", event).where("e is not null")
-    return own.select(*SOURCE, "line_no", "line", F.coalesce("session", "stem").alias("source_session_id"), "cwd", json.string(v, "$.timestamp").alias("occurred_at"), F.lit(0).alias("slot"), "e")
+    return own.select(*SOURCE, "byte_start", "line", F.coalesce("session", "stem").alias("source_session_id"), "cwd", json.string(v, "$.timestamp").alias("occurred_at"), F.lit(0).alias("slot"), "e")
 
 
-def events(lines: DataFrame, registry: DataFrame, *, profile: str = "full", host: str = "unix", default_distro: str | None = None, next_seq: DataFrame | None = None, mounts: paths.Mounts | None = None) -> DataFrame:
+def events(lines: DataFrame, registry: DataFrame, *, profile: str = "full", host: str = "unix", default_distro: str | None = None, state: DataFrame | None = None, mounts: paths.Mounts | None = None, stage: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The fixed event schema from lines of all providers; unknown providers give none.
 
-    seq is dense in each file and goes on from ``next_seq`` (source key, next_seq). The metadata profile drops
-    contents only.
+    state (schema STATE): where earlier lines of the same files left off. seq is dense in each file and goes on
+    from it. The metadata profile drops contents only. stage: writes parsed rows down and reads them again, as
+    attribution needs them twice; without it lines are parsed twice.
     """
-    both = claude(lines.where("source_type = 'claude_code'")).unionByName(codex(lines.where("source_type = 'codex'")))
-    line = W.partitionBy(*SOURCE).orderBy("line_no", "slot")
+    both = claude(lines.where("source_type = 'claude_code'")).unionByName(codex(lines.where("source_type = 'codex'"), state))
+    line = W.partitionBy(*SOURCE).orderBy("byte_start", "slot")
     both = both.withColumn("seq", (F.row_number().over(line) - 1).cast("long"))
-    if next_seq is not None:
-        both = both.join(next_seq.select(*SOURCE, "next_seq"), SOURCE, "left").withColumn("seq", F.col("seq") + F.coalesce("next_seq", F.lit(0)))
-    slot = F.row_number().over(W.partitionBy(*SOURCE, "line_no", "e.event_type").orderBy("slot")) - 1
+    if state is not None:
+        both = both.join(state.select(*SOURCE, "next_seq"), SOURCE, "left").withColumn("seq", F.col("seq") + F.coalesce("next_seq", F.lit(0)))
+    slot = F.row_number().over(W.partitionBy(*SOURCE, "byte_start", "e.event_type").orderBy("slot")) - 1
     both = both.withColumn("ordinal", slot)
     # a blank directory differs from an absent one
     both = both.withColumn("_where", F.when(F.col("cwd").isNotNull(), F.coalesce(paths.normalize_cwd(F.col("cwd"), host=host, default_distro=default_distro), F.lit(""))))
-    both = attribute(both, registry, path_col="_where", mounts=mounts)
+    both = attribute(both if stage is None else stage(both), registry, path_col="_where", mounts=mounts)
     full = {f.name: F.lit(None).cast(f.dataType) for f in EVENT} | {
         "schema_version": F.lit(SCHEMA_VERSION),
         **{c: F.col(c) for c in (*SOURCE, "source_session_id", "seq", "cwd", "project_root", "project_root_source", "occurred_at")},

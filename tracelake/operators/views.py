@@ -42,12 +42,17 @@ def recent_sessions(seen: DataFrame, limit: int, since_ms: int | None = None) ->
 
 
 def pull(seen: DataFrame, since: int = 0, limit: int = 1000) -> DataFrame:
-    """A page of events by offset."""
+    """A page of events by offset, broken rows included: :func:`whole` drops these, :func:`page_end` counts them."""
     return seen.where(F.col("offset") > since).orderBy("offset").limit(limit)
 
 
+def whole(rows: DataFrame) -> DataFrame:
+    """Rows whose content could be opened."""
+    return rows.where("not broken").drop("broken")
+
+
 def page_end(page: DataFrame) -> DataFrame:
-    """max_scanned_offset of a page, undecodable rows included; null only for an empty page."""
+    """max_scanned_offset of a page, broken rows included, so that a reader gets past them; null only for an empty page."""
     return page.agg(F.max("offset").alias("max_scanned_offset"))
 
 
@@ -56,9 +61,17 @@ def read_sessions(seen: DataFrame, specs: DataFrame, cap: int) -> DataFrame:
     return seen.join(specs, [*SOURCE, "source_session_id"]).orderBy("list_pos", "seq", "offset").limit(cap)
 
 
-def read_session(events: DataFrame, head: DataFrame, path: str, session: str) -> DataFrame:
-    """One session of the head, tombstones ignored."""
-    return current(events.where((F.col("source_path") == path) & (F.col("source_session_id") == session)), head).orderBy("seq", "offset")
+def read_session(events: DataFrame, head: DataFrame, source_type: str, location: str, path: str, session: str) -> DataFrame:
+    """One session of one source's head, tombstones ignored."""
+    own = events
+    for c, value in zip((*SOURCE, "source_session_id"), (source_type, location, path, session), strict=True):
+        own = own.where(F.col(c) == value)
+    return current(own, head).orderBy("seq", "offset")
+
+
+def skipped(session: DataFrame) -> int:
+    """How many rows of a session could not be opened."""
+    return session.where("broken").count()
 
 
 def latest_snapshots(events: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
@@ -84,16 +97,38 @@ def status(events: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     return own if keys is None else own.crossJoin(keys.agg(F.count("*").alias("data_keys")))  # one row each
 
 
-def gc_candidates(projections: DataFrame, head: DataFrame, events: DataFrame, *, strict_reference: bool = False) -> DataFrame:
-    """Superseded reparses and their events. By default only those of the head's source revision: an earlier one may be the only copy of bytes that are gone."""
+def gc_candidates(projections: DataFrame, head: DataFrame, events: DataFrame | None = None, *, strict_reference: bool = False) -> DataFrame:
+    """Superseded reparses and their events, counted in ``events`` or else as the ledger has them.
+
+    By default only those of the head's source revision: an earlier one may be the only copy of bytes that are gone.
+    """
     h = head.select(*SOURCE, F.struct(*REVISIONS).alias("_head"))
     own = projections.where("origin = 'reparse'").join(h, SOURCE, "left").where(~F.struct(*REVISIONS).eqNullSafe(F.col("_head")))
     if not strict_reference:
         own = own.where("source_revision = _head.source_revision")
+    if events is None:
+        return own.select(*SOURCE, *REVISIONS, "events")
     counts = events.groupBy(*SOURCE, *REVISIONS).agg(F.count("*").alias("events"))
     return own.select(*SOURCE, *REVISIONS).join(counts, [*SOURCE, *REVISIONS], "left").withColumn("events", F.coalesce("events", F.lit(0)))
 
 
+def ledger_of(events: DataFrame) -> DataFrame:
+    """The ledger that events themselves tell: origin ``unknown``, created when first ingested."""
+    own = events.groupBy(*SOURCE, *REVISIONS).agg(F.coalesce(F.min("ingested_at"), F.lit(0)).alias("created_at"), F.count("*").alias("events"))
+    return own.withColumns({"origin": F.lit("unknown"), "token": F.lit(None).cast("string")})
+
+
+def heads_of(ledger: DataFrame) -> DataFrame:
+    """Each source's highest revisions, chosen among its projections rather than its events."""
+    top = ledger.groupBy(*SOURCE).agg(F.max(F.struct(*REVISIONS)).alias("_top"))
+    return top.select(*SOURCE, *(F.col(f"_top.{c}").alias(c) for c in REVISIONS))
+
+
+def distinct_roots(events: DataFrame) -> DataFrame:
+    """The project roots that events name, blank ones left out."""
+    return events.where("project_root <> ''").select("project_root").distinct()
+
+
 def root_report(registry: DataFrame, identities: DataFrame, probes: DataFrame) -> DataFrame:
     """Roots with their latest identity and the last probe's verdict, looked up by the path's key or else the stored one."""
     from tracelake.functions.ids import verdict

@@ -25,6 +25,16 @@ def decisions(*, quality: Column, events: Column, rewritten: Column, stale: Colu
     )
 
 
+def events_are_usable(quality: Column) -> Column:
+    """Good lines of a degraded read count; a poison line takes its whole batch with it."""
+    return quality.isin("clean", "degraded")
+
+
+def should_record(quality: Column, failed_at: Column) -> Column:
+    """Whether a pass over a file leaves a trace: all but one that couldn't even be asked for (failed_at ``stat``)."""
+    return ~F.coalesce((quality == "unavailable") & (failed_at == "stat"), F.lit(False))
+
+
 def owes_reprojection(known: Column, now: Column) -> Column:
     """A recorded revision that differs; one never recorded isn't stale."""
     return known.isNotNull() & (known != now)

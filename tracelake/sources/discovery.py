@@ -5,6 +5,7 @@ from __future__ import annotations
 import configparser
 import hashlib
 import os
+import stat
 from collections.abc import Iterable
 from fnmatch import fnmatch
 
@@ -16,22 +17,37 @@ from tracelake.sources.catalog import ARTIFACTS, PROJECT_FILES, config_dirs
 IDENTITY = "encoded string, source_location string, project_root string"
 LISTING = "source_type string, source_location string, source_path string, source_mode string, project_root string, artifact_kind string"
 #: Files that mark a root where no repository is above.
-MARKERS = ["Cargo.toml", "package.json", "pyproject.toml", "go.mod", "pom.xml", "build.gradle", "CMakeLists.txt", "Makefile"]
+MARKERS = ["Cargo.toml", "package.json", "pyproject.toml", "go.mod", ".hg", "CLAUDE.md", "AGENTS.md"]
 
 
-def probe(path: str) -> tuple[str, str | None]:
-    """(status, reason): file, dir, other, absent or unknown. What couldn't be asked is never absent."""
+def probe(path: str, anchor: str | None = None) -> tuple[str, str | None]:
+    """(status, reason): file, dir, other, absent or unknown. What couldn't be asked is never absent.
+
+    A missing path counts as absent only if ``anchor``, the folder it was looked for under, gives no other
+    error than being missing too, and if the path isn't the top of its file system.
+    """
     try:
         st = os.stat(path)
     except (FileNotFoundError, NotADirectoryError):
-        return "absent", None
+        return _absent(path, anchor)
     except (OSError, ValueError) as e:
         return "unknown", type(e).__name__
-    import stat
-
     return ("file" if stat.S_ISREG(st.st_mode) else "dir" if stat.S_ISDIR(st.st_mode) else "other"), None
 
 
+def _absent(path: str, anchor: str | None) -> tuple[str, str | None]:
+    if os.path.isabs(path) and os.path.dirname(path) == path:
+        return "unknown", "the top itself isn't there"
+    if anchor is not None:
+        try:
+            os.stat(anchor)
+        except (FileNotFoundError, NotADirectoryError):
+            pass
+        except (OSError, ValueError) as e:
+            return "unknown", f"{anchor}: {type(e).__name__}"
+    return "absent", None
+
+
 def _walk(top: str, recursive: bool) -> tuple[list[str], bool]:
     failed: list[OSError] = []
     files = []
@@ -57,7 +73,7 @@ def discover(spark: SparkSession, dirs: dict[str, str] | None = None, mode: str
         top = os.path.join(dirs[kind], sub)
         if status == "planned" or mode not in (None, m):
             continue
-        found, _ = probe(top)
+        found, _ = probe(top, dirs[kind])
         if found == "unknown":
             unreachable.add(top)
         if found != "dir":
@@ -77,9 +93,9 @@ def project_snapshots(roots: DataFrame) -> DataFrame:
 def enumerate_snapshots(snapshots: DataFrame, project_files: DataFrame, identities: DataFrame) -> DataFrame:
     """Both kinds of snapshots, with the identity of the project folder they lie in, each file once.
 
-    identities: encoded, source_location, project_root. snapshots' folder: the name after ``projects/``.
+    identities: encoded, source_location, project_root; of several for one folder the first. snapshots' folder: the name after ``projects/``.
     """
-    first = identities.groupBy("encoded", "source_location").agg(F.min("project_root").alias("_root"))
+    first = identities.withColumn("_at", F.monotonically_increasing_id()).groupBy("encoded", "source_location").agg(F.min_by("project_root", "_at").alias("_root"))
     encoded = F.when(F.col("source_type") == "claude_code", F.regexp_extract("source_path", r"[/\\]projects[/\\]([^/\\]+)[/\\]memory[/\\]", 1))
     own = snapshots.withColumn("encoded", encoded).join(first, ["encoded", "source_location"], "left")
     own = own.withColumn("project_root", F.coalesce("project_root", "_root")).select(snapshots.columns)
@@ -163,14 +179,16 @@ def project_root(path: str, home: str | None = None) -> tuple[str, str] | None:
     return None
 
 
-def discover_roots(paths: Iterable[str], home: str | None = None) -> dict[str, list]:
-    """Roots of candidate paths, blank ones left out: roots, without_root, failed."""
-    out: dict[str, list] = {"roots": [], "without_root": [], "failed": []}
+def discover_roots(paths: Iterable[str], home: str | None = None) -> dict:
+    """Roots of candidate paths, blank ones left out: roots, without_root, failed, and why the first of these failed."""
+    out: dict = {"roots": [], "without_root": [], "failed": [], "first_failure": None}
     for p in dict.fromkeys(x.strip() for x in paths):
         if not p:
             continue
-        if probe(p)[0] == "unknown":
+        status, why = probe(p)
+        if status == "unknown":
             out["failed"].append(p)
+            out["first_failure"] = out["first_failure"] or f"{p}: {why}"
         elif found := project_root(p, home):
             if found not in out["roots"]:
                 out["roots"].append(found)

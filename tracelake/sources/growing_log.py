@@ -1,7 +1,10 @@
 """Files that grow: a data source that reads whole new lines from byte offsets, in batch and as a stream.
 
 Spark's own file streams take files for immutable. Offsets here are bytes at line ends; a file that shrinks
-below its offset, or whose time goes backwards, is read anew from 0 and marked ``rollback``.
+below its offset, or whose time goes backwards, is read anew from 0, after a row with control ``rollback``
+and the new bytes' hash as its line. Files are read in byte ranges, a task each, and leave as Arrow batches;
+the driver looks at sizes, times and the last bytes before a file's end only. Files must be on a path that
+the driver and all executors can open.
 """
 
 from __future__ import annotations
@@ -11,9 +14,11 @@ import json
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-SCHEMA = "source_path string, line_no long, byte_start long, line string, control string"
+SCHEMA = "source_path string, byte_start long, byte_end long, line string, control string"
+SPLIT = 64 << 20
 
 
 def complete_lines(data: bytes) -> tuple[list[bytes], int]:
@@ -34,25 +39,23 @@ def prefix_hash(path: str, length: int) -> str:
 def scan(path: str, cursor: dict | None) -> dict:
     """One look at a file: change (none, grown, rollback, unavailable), and the range of whole new lines.
 
-    cursor: safe_offset, size, mtime, lines. A file that gets shorter between two looks is unavailable.
+    cursor: safe_offset, size, mtime. A file that gets shorter between two looks is unavailable.
     """
     try:
         st = os.stat(path)
     except OSError as e:
         return {"change": "unavailable", "reason": type(e).__name__, "cursor": cursor}
-    old = cursor or {"safe_offset": 0, "size": 0, "mtime": 0, "lines": 0}
+    old = cursor or {"safe_offset": 0, "size": 0, "mtime": 0}
     rolled = bool(cursor) and (st.st_size < old["safe_offset"] or st.st_mtime_ns < old["mtime"])
-    if rolled:
-        old = {"safe_offset": 0, "size": 0, "mtime": 0, "lines": 0}
-    start = old["safe_offset"]
-    seen = old | {"size": st.st_size, "mtime": st.st_mtime_ns}
+    start = 0 if rolled else old["safe_offset"]
+    seen = {"safe_offset": start, "size": st.st_size, "mtime": st.st_mtime_ns}
     if st.st_size == start and not rolled:
         return {"change": "none", "start": start, "end": start, "cursor": seen}
     try:
         end = _last_line_end(path, start, st.st_size)
     except OSError as e:
         return {"change": "unavailable", "reason": type(e).__name__, "cursor": cursor}
-    return {"change": "rollback" if rolled else "grown" if end > start else "none", "start": start, "end": end, "first_line": old["lines"], "cursor": seen | {"safe_offset": end}}
+    return {"change": "rollback" if rolled else "grown" if end > start else "none", "start": start, "end": end, "cursor": seen | {"safe_offset": end}}
 
 
 def _last_line_end(path: str, start: int, size: int) -> int:
@@ -71,63 +74,54 @@ def _last_line_end(path: str, start: int, size: int) -> int:
     return start
 
 
-def count_lines(path: str, start: int, end: int) -> int:
-    n = 0
-    with open(path, "rb") as f:
-        f.seek(start)
-        while start < end and (part := f.read(min(end - start, 1 << 20))):
-            n += part.count(b"\n")
-            start += len(part)
-    return n
-
-
 class Range(InputPartition):
-    """Whole lines of one file."""
+    """The lines of one file that begin in [start, end); whole lines fill [first, last)."""
 
-    def __init__(self, path: str, start: int, end: int, first_line: int, control: str | None, strict: bool) -> None:
+    def __init__(self, path: str, start: int, end: int, first: int, last: int, control: str | None) -> None:
         super().__init__(None)
-        self.path, self.start, self.end, self.first_line, self.control, self.strict = path, start, end, first_line, control, strict
+        self.path, self.start, self.end, self.first, self.last, self.control = path, start, end, first, last, control
 
 
-def _rows(p: Range) -> Iterator[tuple]:
-    """The range's lines; with ``strict`` only a ``poison`` row if one of them isn't JSON."""
-    if p.strict and any(not _json(line) for line, _ in _lines(p)):
-        yield (p.path, p.first_line, p.start, None, "poison")
-        return
-    if p.control:
-        yield (p.path, p.first_line, p.start, None, p.control)
-    for n, (line, at) in enumerate(_lines(p)):
-        yield (p.path, p.first_line + n, at, line.decode("utf-8", "replace"), None)
+def ranges(path: str, first: int, last: int, control: str | None, split: int) -> list[InputPartition]:
+    """[first, last) in parts of ``split`` bytes; one at least, if there is a control row to send."""
+    cuts = [*range(first, last, split), last]
+    parts = [Range(path, s, e, first, last, None) for s, e in zip(cuts, cuts[1:])]  # noqa: B905
+    return [Range(path, first, first, first, last, control), *parts] if control else parts
 
 
-def _lines(p: Range) -> Iterator[tuple[bytes, int]]:
+def _lines(p: Range) -> Iterator[tuple[bytes, int, int]]:
     with open(p.path, "rb") as f:
-        f.seek(p.start)
         at = p.start
+        if p.start > p.first:  # the line that an earlier range began
+            f.seek(p.start - 1)
+            at += len(f.readline()) - 1
+        f.seek(at)
         while at < p.end:
             line = f.readline()
-            if not line or at + len(line) > p.end:
+            if not line or at + len(line) > p.last:
                 raise OSError(f"{p.path} got shorter while it was read")
-            yield line.rstrip(b"\n"), at
+            yield line.rstrip(b"\n"), at, at + len(line)
             at += len(line)
 
 
-def bad_lines(p: Range) -> tuple[int, int]:
-    """How many lines a range has, and how many of them aren't JSON."""
-    n = bad = 0
-    for n, (line, _) in enumerate(_lines(p), 1):  # noqa: B007
-        bad += not _json(line)
-    return n, bad
+def _batches(p: Range, most: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    def out(at: list, ends: list, lines: list, control: str | None = None) -> pa.RecordBatch:
+        n = len(at)
+        cols = [pa.array([p.path] * n, pa.string()), pa.array(at, pa.int64()), pa.array(ends, pa.int64()), pa.array(lines, pa.string()), pa.array([control] * n, pa.string())]
+        return pa.record_batch(cols, names=["source_path", "byte_start", "byte_end", "line", "control"])
 
-
-def _json(line: bytes) -> bool:
-    if not line.strip():
-        return True
-    try:
-        json.loads(line)
-    except ValueError:
-        return False
-    return True
+    if p.control:
+        yield out([p.first], [p.last], [prefix_hash(p.path, p.last)], p.control)
+    at, ends, lines = [], [], []
+    for line, start, end in _lines(p):
+        at.append(start)
+        ends.append(end)
+        lines.append(line.decode("utf-8", "replace"))
+        if len(at) == most or end - at[0] >= size:
+            yield out(at, ends, lines)
+            at, ends, lines = [], [], []
+    if at:
+        yield out(at, ends, lines)
 
 
 def _files(options: dict) -> list[str]:
@@ -142,57 +136,52 @@ class _Batch(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.options = dict(options)
         self.cursors = json.loads(options.get("cursors", "{}"))
+        self.split = int(options.get("split", SPLIT))
 
     def partitions(self) -> list[InputPartition]:
         looks = [(p, scan(p, self.cursors.get(p))) for p in _files(self.options)]
-        # a one-shot read keeps good lines of a bad file; a read from a cursor freezes it
-        out = [Range(p, s["start"], s["end"], s["first_line"], "rollback" if s["change"] == "rollback" else None, p in self.cursors and s["change"] == "grown") for p, s in looks if s["change"] in ("grown", "rollback")]
-        return out or [Range("", 0, 0, 0, None, False)]
+        out = [r for p, s in looks if s["change"] in ("grown", "rollback") for r in ranges(p, s["start"], s["end"], "rollback" if s["change"] == "rollback" else None, self.split)]
+        return out or [Range("", 0, 0, 0, 0, None)]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        return _rows(partition) if partition.path else iter(())
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        return _batches(partition) if partition.path else iter(())
 
 
 class _Stream(DataSourceStreamReader):
     def __init__(self, options: dict) -> None:
         self.options = dict(options)
+        self.split = int(options.get("split", SPLIT))
+        self.last: dict = {}
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
 
-    def latestOffset(self, start: dict | None = None, limit: object = None) -> dict:
-        before = json.loads((start or getattr(self, "last", None) or self.initialOffset())["files"])
-        now = {}
+    def latestOffset(self) -> dict:
         for p in _files(self.options):
-            s = scan(p, before.get(p))
-            if s["cursor"] is None:
-                continue
-            now[p] = s["cursor"]
-            if s["change"] in ("grown", "rollback"):
-                now[p] = s["cursor"] | {"lines": s["first_line"] + count_lines(p, s["start"], s["end"]), "rolled": s["change"] == "rollback"}
-        self.last = {"files": json.dumps(before | now, sort_keys=True)}
-        return self.last
+            s = scan(p, self.last.get(p))
+            if s["cursor"] is not None:
+                self.last[p] = s["cursor"]
+        return {"files": json.dumps(self.last, sort_keys=True)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        """Ranges between two offsets. A file was rolled back if it ends before its old offset or its time went backwards: a restarted stream tells so too."""
         a, b = json.loads(start["files"]), json.loads(end["files"])
-        out = []
+        out: list[InputPartition] = []
         for p, c in sorted(b.items()):
-            old = a.get(p, {"safe_offset": 0, "lines": 0})
-            rolled = c.get("rolled", False) and c != a.get(p)
-            low = {"safe_offset": 0, "lines": 0} if rolled else old
-            if c["safe_offset"] > low["safe_offset"] or rolled:
-                out.append(Range(p, low["safe_offset"], c["safe_offset"], low["lines"], "rollback" if rolled else None, False))
-        return out or [Range("", 0, 0, 0, None, False)]
+            old = a.get(p, {"safe_offset": 0, "mtime": 0})
+            rolled = c["safe_offset"] < old["safe_offset"] or c["mtime"] < old["mtime"]
+            out += ranges(p, 0 if rolled else old["safe_offset"], c["safe_offset"], "rollback" if rolled else None, self.split)
+        return out or [Range("", 0, 0, 0, 0, None)]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        return _rows(partition) if partition.path else iter(())
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        return _batches(partition) if partition.path else iter(())
 
     def commit(self, end: dict) -> None:
         return None
 
 
 class GrowingLog(DataSource):
-    """Format ``growing_log``. Options: path (a folder) or paths (JSON list), suffix, cursors (JSON map)."""
+    """Format ``growing_log``. Options: path (a folder) or paths (JSON list), suffix, cursors (JSON map), split (bytes)."""
 
     @classmethod
     def name(cls) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.ids import content_hash
+from tracelake.operators.store import Conflict
 from tracelake.schema import EVENT, SCHEMA_VERSION, SOURCE
 
 
@@ -32,14 +33,18 @@ def to_events(found: DataFrame, observed_at: str, next_seq: DataFrame | None = N
 
 
 def sync(store, found: DataFrame, observed_at: str) -> dict[str, int]:
-    """Append new versions; sources, changed, unchanged, appended."""
+    """Append new versions; sources, changed, unchanged, appended, failed: changed ones that could not be stored."""
     from tracelake.operators.views import latest_snapshots
 
-    events = store.table("raw_events")
-    latest = latest_snapshots(events)
+    latest = latest_snapshots(store.table("raw_events"))
     new = changed(found, latest)
     seqs = latest.select(*SOURCE, (F.col("seq") + 1).alias("next_seq"))
     n, m = found.select(*SOURCE).distinct().count(), new.count()
-    stats = store.append_events(to_events(new, observed_at, seqs)) if m else None
-    appended = stats.agg(F.sum("appended")).first()[0] if stats is not None else 0
-    return {"sources": n, "changed": m, "unchanged": n - m, "appended": appended}
+    out = {"sources": n, "changed": m, "unchanged": n - m, "appended": 0, "failed": 0}
+    if not m:
+        return out
+    try:
+        out["appended"] = store.append_events(to_events(new, observed_at, seqs)).agg(F.sum("appended")).first()[0]
+    except Conflict:  # another writer was first; the next sync finds them changed again
+        out["failed"] = m
+    return out

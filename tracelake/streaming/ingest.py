@@ -2,49 +2,65 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracelake.functions.ids import projection_token
+from tracelake.operators.parse import end_state
 from tracelake.operators.parse import events as parse_events
 from tracelake.operators.store import Store
-from tracelake.schema import PARSER_REVISION, SOURCE
+from tracelake.schema import LINE, PARSER_REVISION, SOURCE, STATE
 from tracelake.sources.growing_log import GrowingLog
 
 
-def commit(store: Store, lines: DataFrame, registry: DataFrame, **options) -> DataFrame:
-    """Commit whole files' lines (LINE schema with control): rolled back files replace, others append.
+def commit(store: Store, batch: DataFrame, registry: DataFrame, **options) -> DataFrame:
+    """Commit new lines (LINE schema with byte_end and control): rolled back files replace, others append.
 
-    Carried state lives in the file itself, so a source is always parsed from its first line; events that are
-    stored already are found by their sequence numbers and dropped.
+    The parsers go on from the state that the last commit of a file stored, so only new lines are parsed.
+    Lines before that state's end were committed already, by a batch that is played again, and are dropped. A
+    file whose lines begin after it, because its state is unknown or gone, is read anew from its start;
+    events that are stored are then found by their sequence numbers. The token of a rollback takes the hash
+    of the new bytes, so that one played again changes nothing and another of equal length does.
     """
-    body = lines.where("control is null")
-    ends = lines.groupBy(*SOURCE).agg(F.count_if(F.col("control") == "rollback").alias("_r"), F.max(F.col("byte_start") + F.coalesce(F.octet_length("line"), F.lit(-1)) + 1).alias("_end"), F.lit(0).alias("_start"))
-    known = F.lit(None).cast("string")
-    sources = ends.select(*SOURCE, F.when(F.col("_r") > 0, "rollback").otherwise("append").alias("reason"), F.when(F.col("_r") > 0, projection_token(*(F.col(c) for c in SOURCE), known, F.lit(PARSER_REVISION), F.lit(store.attribution_revision()), F.col("_start"), F.col("_end"))).alias("token"))
-    return store.apply_projection(sources, parse_events(body, registry, **options))
+    with store.staging() as stage:
+        batch = stage(batch)
+        rolled = F.col("control") == "rollback"
+        seen = stage(batch.groupBy(*SOURCE).agg(F.count_if(rolled).alias("_r"), F.max(F.when(rolled, F.col("line"))).alias("_hash"), F.min("byte_start").alias("_start"), F.max("byte_end").alias("end_byte")))
+        fresh = seen.where("_r > 0").select(*SOURCE)
+        state = stage(store.parser_state().select(*STATE.names).join(seen, SOURCE, "left_semi").join(fresh, SOURCE, "left_anti"))
+        gaps = seen.where("_r = 0").join(state.select(*SOURCE, F.col("end_byte").alias("_known")), SOURCE, "left").where("_start > coalesce(_known, 0)")
+        state = state.join(gaps, SOURCE, "left_anti")
+        body = batch.where("control is null").select(*LINE.names, "byte_end")
+        own = body.join(gaps, SOURCE, "left_anti").unionByName(_from_start(store.spark, stage(gaps)))
+        own = own.join(state.select(*SOURCE, F.col("end_byte").alias("_done")), SOURCE, "left").where("byte_start >= coalesce(_done, 0)").select(*LINE.names)
+        known = projection_token(*(F.col(c) for c in (*SOURCE, "_hash")), F.lit(PARSER_REVISION), F.lit(store.attribution_revision()), F.lit(0), F.col("end_byte"))
+        sources = seen.select(*SOURCE, F.when(F.col("_r") > 0, "rollback").otherwise("append").alias("reason"), F.when(F.col("_r") > 0, known).alias("token"))
+        made = parse_events(own, registry, state=state, stage=stage, **options)
+        return store.apply_projection(sources, made, state=lambda done: end_state(own, seen, state, done))
+
+
+def _from_start(spark: SparkSession, sources: DataFrame) -> DataFrame:
+    """All lines of files up to ``end_byte``."""
+    ends = {tuple(r[c] for c in SOURCE): r["end_byte"] for r in sources.collect()}  # files whose state is gone
+    lines = spark.read.format("growing_log").option("paths", json.dumps(sorted({p for *_, p in ends}))).load()
+    return lines.join(sources.select(*SOURCE, "end_byte"), "source_path").where("byte_start < end_byte").select(*LINE.names, "byte_end")
 
 
 def start(spark: SparkSession, store: Store, folder: str, checkpoint: str, *, source_type: str, registry: DataFrame, **trigger) -> StreamingQuery:
-    """A query that commits each micro-batch's files. Late events are welcome: there is no watermark.
+    """A query that commits each micro-batch's lines. Late events are welcome: there is no watermark.
 
-    A batch names the files that grew; each is read anew up to the batch's end, which keeps the parsers free
-    of state that could be lost.
+    Lines that aren't JSON are passed over: unlike a scan, a stream can't hold its offset for one file.
     """
     spark.dataSource.register(GrowingLog)
     stream = spark.readStream.format("growing_log").option("path", folder).load()
 
     def each(batch: DataFrame, _: int) -> None:
-        grown = batch.groupBy("source_path").agg(F.count_if(F.col("control") == "rollback").alias("r"), F.max("byte_start").alias("last"))
-        paths = [r["source_path"] for r in grown.collect()]  # names of grown files, one a file
-        if not paths:
-            return
-        import json
-
-        whole = spark.read.format("growing_log").option("paths", json.dumps(paths)).load().join(grown, "source_path").where("byte_start <= last")
-        marks = batch.where("control is not null")
-        own = whole.drop("r", "last").unionByName(marks).select(F.lit(source_type).alias("source_type"), F.lit("local").alias("source_location"), "*")
-        commit(store, own, registry)
-
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start() if not trigger else stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+        own = batch.select(F.lit(source_type).alias("source_type"), F.lit("local").alias("source_location"), "*")
+        if not own.isEmpty():
+            commit(store, own, registry)
+
+    out = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (out.trigger(**trigger) if trigger else out).start()
