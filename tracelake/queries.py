@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.functions import ids, json, paths
+from tracelake.functions import crypto, ids, json, paths
 from tracelake.functions.time import unix_ms
-from tracelake.operators import parity, views
+from tracelake.operators import parity, parse, views
 from tracelake.operators.attribution import attribute, summary
 from tracelake.operators.parse import carry_forward, cumulative_to_delta
-from tracelake.plans.commit_plan import plan
-from tracelake.schema import SOURCE, TABLES
+from tracelake.operators.store import Store, new_events, outcome
+from tracelake.plans.commit_plan import events_are_usable, plan, should_record
+from tracelake.schema import EVENT, REVISIONS, SOURCE, STATE, TABLES
+from tracelake.sources import snapshots
+from tracelake.sources.shared import scratch
+from tracelake.streaming import feed
 
 #: The head and the tombstones that the adapters use.
 HEAD = [("jsonl", "local", "/c/1.jsonl", 1, 0)]
@@ -78,20 +82,32 @@ def read_sessions_capped(spark, sf):
 
 
 def read_session(spark, sf):
-    return views.read_session(messages(spark, sf), spark.createDataFrame(HEAD, TABLES["current_head"]), "/c/1.jsonl", "8").select("seq", "actor", "content")
+    own = messages(spark, sf)
+    # the same path and session of another type and at another place
+    both = own.unionByName(own.withColumns({"source_type": F.lit("codex"), "content": F.lit("of another type")})).unionByName(own.withColumns({"source_location": F.lit("wsl:U"), "content": F.lit("elsewhere")}))
+    return views.read_session(both, spark.createDataFrame(HEAD, TABLES["current_head"]), "jsonl", "local", "/c/1.jsonl", "8").select("seq", "actor", "content")
 
 
 def _versions(spark, sf):
-    return _t(spark, sf, "documents").select(F.lit("jsonl").alias("source_type"), F.lit("local").alias("source_location"), F.col("source").alias("source_path"), F.col("doc_id").alias("offset"), ids.content_hash(F.col("text")).alias("hash"), F.lit("config_snapshot").alias("event_type"))
+    kind = F.when(F.col("lang") == "fr", "message").otherwise("config_snapshot")
+    return _t(spark, sf, "documents").select(F.lit("jsonl").alias("source_type"), F.lit("local").alias("source_location"), F.col("source").alias("source_path"), F.col("doc_id").alias("offset"), ids.content_hash(F.col("text")).alias("hash"), kind.alias("event_type"), "lang", "n_chars")
 
 
 def latest_snapshots(spark, sf):
     return views.latest_snapshots(_versions(spark, sf)).select("source_path", F.col("offset").alias("version"), "hash")
 
 
+def active_snapshots(spark, sf):
+    latest = views.latest_snapshots(_versions(spark, sf))
+    probes = _t(spark, sf, "documents").groupBy(F.col("source").alias("source_path")).agg(F.max("n_chars").alias("n")).select("source_path", F.when(F.col("n") > 15000, "absent").when(F.col("n") > 10000, "unknown").when(F.col("n") > 8000, "dir").otherwise("file").alias("status"))
+    return views.active_snapshots(latest, probes).select("source_path", F.col("offset").alias("version"))
+
+
 def snapshot_changes(spark, sf):
-    before = F.lag("hash").over(W.partitionBy("source_path").orderBy("offset"))
-    return _versions(spark, sf).withColumn("_b", before).where("not (hash <=> _b)").select("source_path", F.col("offset").alias("version"), "hash")
+    """Files of a source and language: what the last version changes against the last short one, that is stored."""
+    own = _versions(spark, sf).withColumns({"source_path": F.concat_ws("/", "source_path", "lang"), "event_type": F.lit("config_snapshot"), "content_hash": F.col("hash"), "project_root": F.lit(None).cast("string"), "artifact_kind": F.lit("memory")})
+    found = views.latest_snapshots(own)
+    return snapshots.changed(found, views.latest_snapshots(own.where("n_chars < 1500"))).select("source_path", F.col("offset").alias("version"), "hash")
 
 
 def _heads(spark, sf):
@@ -123,19 +139,83 @@ def carried(spark, sf):
     return own.select("event_id", "model")
 
 
-def event_seq_and_slot(spark, sf):
-    m = messages(spark, sf)
-    seq = F.row_number().over(W.partitionBy("source_path").orderBy("offset")) - 1
-    slot = F.row_number().over(W.partitionBy("source_session_id", "actor").orderBy("offset")) - 1
-    return m.select("source_session_id", F.col("seq").alias("turn"), seq.cast("long").alias("seq"), slot.cast("long").alias("slot"))
+def _registry_of_r(spark):
+    return spark.createDataFrame([("/r/1", "/r/1", "git"), ("/r/2", "/r/2", "marker")], "root_key string, root_path string, root_source string")
+
+
+def claude_lines(spark, sf):
+    """Conversations as lines: contents as text, with thinking, in a tool's result, with a tool's name; each fifth turn is meta."""
+    c, t, role, text = F.col("conv_id"), F.col("turn"), F.col("role"), F.coalesce("text", F.lit(""))
+    said, quoted = F.to_json(F.struct(F.lit("text").alias("type"), text.alias("text"))), F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
+    cat = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
+    kind = F.pmod(t, F.lit(4))
+    content = F.when(kind == 0, quoted).when(kind == 1, cat('[{"type":"thinking","thinking":"hm ', role, '"},', said, "]")).when(kind == 2, cat('[{"type":"tool_result","content":[', said, "]}]")).otherwise(cat("[", said, ',{"type":"tool_use","name":"', role, '"}]'))
+    use = F.when(role == "assistant", cat(',"usage":{"input_tokens":', t * 10, '.9,"output_tokens":-1,"cache_read_input_tokens":"7","cache_creation_input_tokens":', c, "}")).otherwise("")
+    line = cat(
+        '{"type":"', role, '","isMeta":', F.when(t % 5 == 4, "true").otherwise("false"), ',"timestamp":"2026-01-01T00:00:00Z"', F.when(c % 3 != 0, cat(',"sessionId":"', c, '"')).otherwise(""), ',"cwd":"/r/', c % 5, '/x","effort":"', F.when(t % 2 == 0, "high").otherwise(""),
+        '","requestId":"r', c, '","message":{"id":"m', t, '","role":"', role, '","model":"M', c % 3, '","content":', content, use, "}}",
+    )
+    return _t(spark, sf, "conversations").select(F.lit("claude_code").alias("source_type"), F.lit("local").alias("source_location"), cat("/c/", c % 7, ".jsonl").alias("source_path"), (c * 1000 + t).alias("byte_start"), line.alias("line"))
+
+
+def _parsed(events):
+    return events.select("source_path", "seq", "source_session_id", "event_type", "actor", F.sha2("content", 256).alias("content_sha256"), "model", "effort", *(F.col(f"usage.{c}").alias(c) for c in ("input", "output", "cache_creation", "cache_read")), "message_id", "request_id", F.col("event_key.slot_ordinal").alias("slot"), "project_root", "project_root_source", "time_confidence")
+
+
+def claude_events(spark, sf):
+    return _parsed(parse.events(claude_lines(spark, sf), _registry_of_r(spark)))
+
+
+def codex_lines(spark, sf):
+    """Events as lines of a file a user: sessions, contexts, running totals, last usages and items."""
+    k, kind = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)), F.col("event_type")
+    cat = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
+    total = F.sum(k).over(W.partitionBy("user_id").orderBy("event_id"))
+    count = lambda block, i, c, o: cat('{"type":"event_msg","payload":{"type":"token_count","info":{"', block, '":{"input_tokens":', i, ',"cached_input_tokens":', c, ',"output_tokens":', o, "}}}}")
+    item = lambda *x: cat('{"type":"response_item","payload":{', *x, "}}")
+    part = F.pmod(k, F.lit(4))
+    line = (
+        F.when(kind == "signup", cat('{"type":"session_meta","payload":{"id":"', F.col("event_id"), '","cwd":"/r/', k % 5, '"}}'))
+        .when(kind == "click", cat('{"type":"turn_context","payload":{"', F.when(k % 2 == 0, "model").otherwise("model_slug"), '":"m', k % 3, '","collaboration_mode":{"reasoning_effort":"e', k % 2, '"}}}'))
+        .when(kind == "purchase", count("total_token_usage", total * 3, total, total * 2))
+        .when(kind == "view", count("last_token_usage", k, k + 5, F.lit(1)))
+        .when(part == 0, item('"type":"message","role":"user","content":[{"type":"input_text","text":"e', k, '"}]'))
+        .when(part == 1, item('"type":"function_call","name":"f', k, '"'))
+        .when(part == 2, item('"type":"function_call_output","output":"', F.when(k % 8 == 2, " ").otherwise("out"), '"'))
+        .otherwise(item('"type":"reasoning","encrypted_content":"z"'))
+    )
+    own = _t(spark, sf, "events").withColumn("line", line)
+    return own.select(F.lit("codex").alias("source_type"), F.lit("local").alias("source_location"), cat("/u/", F.col("user_id"), ".jsonl").alias("source_path"), F.col("event_id").alias("byte_start"), "line")
+
+
+def codex_events(spark, sf):
+    return _parsed(parse.events(codex_lines(spark, sf), _registry_of_r(spark)))
+
+
+def codex_batches(spark, sf):
+    """The same in two batches, the second from the state that the first leaves."""
+    own = codex_lines(spark, sf)
+    middle = own.agg(F.expr("max(byte_start) div 2")).first()[0] or 0
+    first, then, none = own.where(F.col("byte_start") <= middle), own.where(F.col("byte_start") > middle), spark.createDataFrame([], STATE)
+    a = parse.events(first, _registry_of_r(spark), state=none)
+    state = parse.end_state(first, first.groupBy(*SOURCE).agg(F.lit(middle).alias("end_byte")), none, a)
+    path = scratch(spark, "state")
+    state.write.parquet(path)
+    return _parsed(a.unionByName(parse.events(then, _registry_of_r(spark), state=spark.read.schema(STATE).parquet(path))))
 
 
 def event_key(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", ids.record_fingerprint(F.col("text")).alias("fingerprint"))
 
 
+def _as_events(spark, sf):
+    """Documents as events: a source's sessions are languages, and the length in hundreds is the seq."""
+    return _versions(spark, sf).select(*SOURCE, F.col("lang").alias("source_session_id"), F.expr("n_chars div 100").alias("seq"), *(F.lit(0).cast("long").alias(c) for c in REVISIONS), F.col("offset").alias("_at"), F.col("offset").alias("doc_id"), "n_chars")
+
+
 def dedup_insert(spark, sf):
-    return _versions(spark, sf).groupBy(F.concat_ws("|", "source_path", "hash").alias("unique_key")).agg(F.min("offset").alias("first_doc"))
+    own = _as_events(spark, sf)
+    return new_events(own, own.where("n_chars < 1000")).select("source_path", "source_session_id", "seq", F.col("doc_id").alias("first_doc"))
 
 
 def tombstone_visibility(spark, sf):
@@ -162,25 +242,117 @@ def gc_candidates(spark, sf):
 
 
 def reparse_outcome(spark, sf):
-    li, _ = _projections(spark, sf)
-    n = lambda r: F.count_if(F.col("projection_revision") == r)
-    own = li.groupBy("source_path").agg(n(0).alias("before"), n(1).alias("after"))
-    loses = F.col("after") < F.col("before")
-    return own.select("source_path", "before", "after", F.when(loses, 0).otherwise(F.col("before")).cast("long").alias("removed"), loses.alias("loses_events"))
+    """A store that takes all conversations, then reparses of some files without their system turns and of others with one turn more."""
+    store = Store(spark, scratch(spark, "store"), buckets=4)
+    full = {f.name: F.lit(None).cast(f.dataType) for f in EVENT} | {"seq": F.col("offset")}
+    own = messages(spark, sf).withColumn("more", F.lit(False))
+    grown = own.unionByName(own.groupBy(*SOURCE, "source_session_id").agg((F.max("offset") + 500).alias("offset")).withColumn("more", F.lit(True)), allowMissingColumns=True)
+    events = lambda df: df.select(*(full[f.name].alias(f.name) if f.name not in df.columns or f.name == "seq" else F.col(f.name) for f in EVENT))
+    short = F.col("source_path") < "/c/4"
+    reason = F.when(F.col("source_path") == "/c/6.jsonl", "rollback").when(F.col("source_path") == "/c/5.jsonl", "append").otherwise("reparse")
+    store.append_events(events(own))
+    batch = grown.where(F.when(short, (~F.col("more")) & ~F.col("actor").eqNullSafe("system")).otherwise(True))
+    sources = own.select(*SOURCE).distinct().withColumn("reason", reason).withColumn("token", F.when(F.col("reason") != "append", F.col("source_path")))
+    stats = store.apply_projection(sources, events(batch))
+    seen = store.visible().groupBy(*SOURCE).agg(F.count("*").alias("visible"))
+    return stats.join(seen, SOURCE, "left").select("source_path", "reason", "source_revision", "projection_revision", "before", "appended", "skipped_dup", "removed", "loses_events", "head_moved", "visible")
 
 
 def apply_stats(spark, sf):
-    v = _versions(spark, sf).withColumn("erased", F.col("offset") % 13 == 0)
-    first = F.row_number().over(W.partitionBy("source_path", "hash", "erased").orderBy("offset")) == 1
-    v = v.withColumn("first", first)
-    return v.groupBy("source_path").agg(F.count_if(~F.col("erased") & F.col("first")).alias("appended"), F.count_if(~F.col("erased") & ~F.col("first")).alias("skipped_dup"), F.count_if("erased").alias("skipped_erased"))
+    """Line items as a batch of their orders' sources, returned ones erased, finished ones stored before."""
+    key = lambda c: [F.lit("t").alias("source_type"), F.lit("l").alias("source_location"), F.col(c).cast("string").alias("source_path")]
+    zero = F.lit(0).cast("long")
+    how = F.when(F.col("o_orderpriority") == "1-URGENT", "rollback").when(F.col("o_orderpriority") == "2-HIGH", "reparse").otherwise("append")
+    sources = _t(spark, sf, "orders").select(*key("o_orderkey"), how.alias("reason"), (F.col("o_orderstatus") == "P").alias("replayed"), zero.alias("old_source_revision"), zero.alias("old_projection_revision"))
+    sources = sources.withColumns({"source_revision": F.when(F.col("reason") == "rollback", 1).otherwise(0).cast("long"), "projection_revision": F.when(F.col("reason") == "reparse", 1).otherwise(0).cast("long")})
+    rows = _t(spark, sf, "lineitem").select(*key("l_orderkey"), F.col("l_returnflag").alias("source_session_id"), F.expr("l_linenumber % 3").cast("long").alias("seq"), F.col("l_linenumber").alias("_at"), "l_linestatus", F.lit("/r").alias("project_root"))
+    batch = rows.join(sources.where("not replayed").select(*SOURCE, *REVISIONS), SOURCE)
+    kept = views.without_erased(batch, spark.createDataFrame([("session", "R", 0)], TABLES["tombstones"]))
+    old = rows.where("l_linestatus = 'F'").withColumns(dict.fromkeys(REVISIONS, zero))
+    ledger = views.ledger_of(old.withColumn("ingested_at", zero))
+    out = outcome(sources, batch, kept, new_events(kept, old), ledger)
+    return out.select("source_path", "reason", "in_batch", "appended", "skipped_dup", "skipped_erased", "before", "head_moved", "loses_events", "removed")
+
+
+def ledger_backfill(spark, sf):
+    li, _ = _projections(spark, sf)
+    ledger = views.ledger_of(li.withColumn("ingested_at", F.lit(None).cast("long")))
+    head = views.heads_of(ledger).withColumn("is_head", F.lit(True))
+    return ledger.join(head, [*SOURCE, *REVISIONS], "left").select("source_path", *REVISIONS, "origin", "created_at", "events", F.coalesce("is_head", F.lit(False)).alias("is_head"))
+
+
+def distinct_roots(spark, sf):
+    return views.distinct_roots(messages(spark, sf).withColumn("project_root", F.when(F.col("source_path") != "/c/3.jsonl", F.when(F.col("actor") == "system", "").otherwise(F.col("project_root")))))
+
+
+def pull_broken(spark, sf):
+    """Pages of events of which system turns don't open: where each page ends, and what it gives."""
+    own = messages(spark, sf).withColumn("broken", F.coalesce(F.col("actor") == "system", F.lit(False)))
+    out = None
+    for since in (0, 5000, 10**9):
+        page = views.pull(own, since, 100)
+        row = views.page_end(page).crossJoin(views.whole(page).agg(F.count("*").alias("events"))).select(F.lit(since).cast("long").alias("since"), "*")  # a row each
+        out = row if out is None else out.union(row)
+    return out
+
+
+def feed_replace(spark, sf):
+    """A copy whose short sources are replaced whole by what is visible now."""
+    copy = messages(spark, sf).withColumn("content", F.lit("old"))
+    now = _seen(spark, sf)
+    moved = now.groupBy(*SOURCE).agg(F.count("*").alias("n")).where("source_path < '/c/4'")
+    return feed.replaced(copy, moved, now).groupBy("source_path").agg(F.count("*").alias("events"), F.count_if(F.col("content") == "old").alias("old"))
+
+
+def path_forms(spark, sf):
+    raw, mounts = F.col("raw"), [("/mnt/c", "C:\\"), ("/Srv", "S:\\data")]
+    trimmed = paths.normalize_cwd(raw)
+    spot = paths.reach(raw, host="windows", mounts=mounts)
+    return _forms(spark, sf).select(
+        "page_id", paths.mount_to_windows(raw, mounts).alias("windows"), paths.is_bare_linux(raw).alias("bare"), paths.distro_of_unc(raw).alias("distro"), paths.file_stem(raw).alias("stem"),
+        spot["kind"].alias("reach_kind"), spot["distro"].alias("reach_distro"), spot["path"].alias("reach_path"), paths.openable(trimmed, paths.aliases(trimmed), host="windows").alias("host_form"),
+    )
+
+
+def unsigned_counts(spark, sf):
+    """Numbers as transcripts may give them: whole, fractional, negative, as text, huge, missing."""
+    k = F.get_json_object("props", "$.k")
+    form = F.when(F.col("event_type") == "view", k).when(F.col("event_type") == "click", F.concat(k, F.lit(".75"))).when(F.col("event_type") == "error", F.concat(F.lit("-1"), k)).when(F.col("event_type") == "signup", F.concat(F.lit('"'), k, F.lit('"'))).otherwise(F.lit("null"))
+    return _t(spark, sf, "events").select("event_id", json.count(json.parse(F.concat(F.lit('{"n":'), form, F.lit("}"))), "$.n").alias("n"))
+
+
+def event_names(spark, sf):
+    """Keys, tokens, associated data and readings of stored names."""
+    e, c = _t(spark, sf, "events"), F.col
+    path, seq = F.concat(F.lit("/é/"), c("user_id").cast("string")), c("event_id")
+    known = F.when(c("event_type") != "view", F.concat(F.lit("fp"), seq.cast("string")))
+    none = F.lit(0).cast("long")
+    return e.select(
+        "event_id", ids.dedup_key(F.lit("codex"), F.lit("local"), path, c("event_type"), seq).alias("dedup_key"),
+        ids.projection_token(F.lit("codex"), F.lit("wsl:U"), path, known, F.lit(5), none, none, seq).alias("token"),
+        F.hex(crypto.event_aad(F.lit("codex"), F.lit("local"), path, c("event_type"), seq, none, F.lit(1).cast("long"))).alias("aad"),
+        F.hex(crypto.data_key_aad(F.lit("k1"), F.lit("codex"), F.lit("local"), path, F.lit(""))).alias("key_aad"),
+        ids.root_source(c("event_type")).alias("root_source"), ids.legacy_status(F.when(c("event_type") == "view", "clean").when(c("event_type") == "click", "degraded").otherwise("poison_line")).alias("status"),
+        ids.origin_url(F.concat(F.lit('[core]\n\tbare = false\n[remote "up"]\n\turl = no\n[remote "origin"]\n\tfetch = x\n\turl = git@h:o/'), seq.cast("string"), F.lit(".git \n"))).alias("origin"),
+    )
+
+
+def sealed_contents(spark, sf):
+    """Contents sealed under a group's key: opened with it, with other associated data, and what the envelope says."""
+    own = messages(spark, sf).withColumn("_key", F.unhex(F.sha2("source_path", 256)))
+    aad = lambda seq: crypto.event_aad(*(F.col(c) for c in (*SOURCE, "source_session_id")), seq, *(F.col(c) for c in REVISIONS))
+    own = own.withColumn("sealed", crypto.seal(F.col("content"), F.col("_key"), aad(F.col("seq")), key_id=F.col("source_path")))
+    told = crypto.envelope(F.col("sealed"))
+    return own.select("offset", F.sha2(crypto.open_sealed(F.col("sealed"), F.col("_key"), aad(F.col("seq"))), 256).alias("opened_sha256"), crypto.open_sealed(F.col("sealed"), F.col("_key"), aad(F.col("seq") + 1)).isNull().alias("other_fails"), told["version"].alias("version"), told["key_id"].alias("key_id"))
 
 
 def commit_plan(spark, sf):
     i = F.col("event_id")
     quality = F.element_at(F.array(*map(F.lit, ("clean", "degraded", "poison_line", "unavailable"))), (i % 4 + 1).cast("int"))
-    own = _t(spark, sf, "events").select("event_id", quality.alias("quality"), (i % 3).alias("events"), (i % 5 == 0).alias("rewritten"), (i % 7 == 0).alias("stale"), (i % 11 == 0).alias("full_reason"), (i % 2 == 0).alias("prior"))
-    return plan(own).select("event_id", "plan_index", "plan_store", "plan_cursor", "plan_sync", "plan_quality")
+    failed = F.when(quality == "unavailable", F.when(F.col("event_type") == "view", "stat").otherwise("read"))
+    own = _t(spark, sf, "events").select("event_id", quality.alias("quality"), failed.alias("failed_at"), (i % 3).alias("events"), (i % 5 == 0).alias("rewritten"), (i % 7 == 0).alias("stale"), (i % 11 == 0).alias("full_reason"), (i % 2 == 0).alias("prior"))
+    own = own.withColumns({"usable": events_are_usable(F.col("quality")), "recorded": should_record(F.col("quality"), F.col("failed_at"))})
+    return plan(own).select("event_id", "usable", "recorded", "plan_index", "plan_store", "plan_cursor", "plan_sync", "plan_quality")
 
 
 def _registry(spark, sf):
@@ -251,6 +423,7 @@ def extract_text(spark, sf):
     level = F.pmod("turn", F.lit(4))
     blocks = F.when(level == 1, inside).when(level == 2, outside).when(level == 3, deepest).otherwise(body)
     content = F.concat(F.lit("["), blocks, F.lit(',{"type":"input_text","text":"tail"}]'))
+    json.allow_repeated_keys(spark)
     return _t(spark, sf, "conversations").select("conv_id", "turn", json.text(json.parse(content)).alias("text"))
 
 
@@ -271,8 +444,8 @@ def parity_by_combo(spark, sf):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        recent_sessions, recent_sessions_since, pull_all, pull_current, read_sessions_capped, read_session, latest_snapshots, snapshot_changes, change_feed, usage_delta, event_seq_and_slot, event_key, dedup_insert,
-        tombstone_visibility, head_filter, gc_candidates, reparse_outcome, apply_stats, commit_plan, attribute_prefix, attribution_summary, root_report, identity_merge, normalize_time, normalize_path, remote_url,
-        extract_text, store_status, parity_by_combo,
+        recent_sessions, recent_sessions_since, pull_all, pull_current, pull_broken, read_sessions_capped, read_session, latest_snapshots, active_snapshots, snapshot_changes, change_feed, feed_replace, usage_delta,
+        claude_events, codex_events, codex_batches, event_key, event_names, dedup_insert, tombstone_visibility, head_filter, gc_candidates, reparse_outcome, apply_stats, ledger_backfill, distinct_roots, commit_plan,
+        attribute_prefix, attribution_summary, root_report, identity_merge, normalize_time, normalize_path, path_forms, remote_url, extract_text, unsigned_counts, sealed_contents, store_status, parity_by_combo,
     )
     return {f.__name__: f for f in own} | {"carry_forward": carried}
