@@ -62,9 +62,9 @@ def oracle_sql() -> dict[str, str]:
         "distinct_roots": f"WITH {_CE} SELECT DISTINCT project_root FROM ce WHERE source_path<>'/c/3.jsonl' AND actor IS DISTINCT FROM 'system'",
         "pull_broken": f"WITH {_CE}, s(since) AS (VALUES (0::BIGINT),(5000),(1000000000)), p AS (SELECT since, \"offset\", actor FROM s JOIN ce ON \"offset\">since QUALIFY row_number() OVER (PARTITION BY since ORDER BY \"offset\")<=100) SELECT since, max(\"offset\") AS max_scanned_offset, count(*) FILTER (\"offset\" IS NOT NULL AND actor IS DISTINCT FROM 'system') AS events FROM s LEFT JOIN p USING (since) GROUP BY since",
         "feed_replace": f"WITH {_CE}, m AS (SELECT DISTINCT source_path FROM seen WHERE source_path<'/c/4'), b AS (SELECT source_path, 0 AS old FROM seen SEMI JOIN m USING (source_path) UNION ALL SELECT source_path, 1 FROM ce ANTI JOIN m USING (source_path)) SELECT source_path, count(*) AS events, sum(old)::BIGINT AS old FROM b GROUP BY ALL",
-        "path_forms": rf"""WITH {_FO} SELECT page_id, CASE page_id%5 WHEN 3 THEN 'C:\'||replace(tail,'/','\')||'\\' WHEN 4 THEN 'S:\data\'||replace(tail,'/','\') END AS windows, page_id%5=4 AS bare, CASE WHEN page_id%5=1 THEN 'Ubuntu' END AS distro,
+        "path_forms": rf"""WITH {_FO} SELECT page_id, CASE page_id%5 WHEN 3 THEN 'C:\Work\'||replace(tail,'/','\')||'\\' WHEN 4 THEN 'S:\data\'||replace(tail,'/','\') END AS windows, page_id%5=4 AS bare, CASE WHEN page_id%5=1 THEN 'Ubuntu' END AS distro,
           (SELECT CASE WHEN m='' THEN CASE page_id%5 WHEN 2 THEN '  ' ELSE '' END||raw ELSE m END FROM (SELECT regexp_replace(regexp_extract(raw,'([^/\\]*)$',1),'(.)\.[^.]*$','\1') AS m)) AS stem, CASE page_id%5 WHEN 1 THEN 'wsl' WHEN 2 THEN 'wsl' WHEN 4 THEN 'unknown' ELSE 'local' END AS reach_kind, CASE page_id%5 WHEN 1 THEN 'Ubuntu' WHEN 2 THEN 'Deb' END AS reach_distro,
-          CASE page_id%5 WHEN 1 THEN '/home/'||tail WHEN 2 THEN '/home/'||tail WHEN 3 THEN 'C:\'||replace(tail,'/','\')||'\\' ELSE raw END AS reach_path, CASE page_id%5 WHEN 0 THEN raw WHEN 1 THEN '\\wsl.localhost\Ubuntu\home\'||replace(tail,'/','\') WHEN 2 THEN '\\wsl.localhost\Deb\home\'||replace(tail,'/','\') END AS host_form FROM f1""",
+          CASE page_id%5 WHEN 1 THEN '/home/'||tail WHEN 2 THEN '/home/'||tail WHEN 3 THEN 'C:\Work\'||replace(tail,'/','\')||'\\' ELSE raw END AS reach_path, CASE page_id%5 WHEN 0 THEN raw WHEN 1 THEN '\\wsl.localhost\Ubuntu\home\'||replace(tail,'/','\') WHEN 2 THEN '\\wsl.localhost\Deb\home\'||replace(tail,'/','\') END AS host_form FROM f1""",
         "unsigned_counts": "SELECT event_id, CASE WHEN event_type IN ('view','click') THEN coalesce(json_extract_string(props,'$.k')::BIGINT,0) ELSE 0 END AS n FROM events",
         "event_names": r"""WITH e AS (SELECT event_id, event_type, '/é/'||user_id AS p, CASE WHEN event_type<>'view' THEN 'fp'||event_id END AS fp FROM events), z AS (SELECT *, 'codex' AS ty, 'local' AS lo FROM e)
           SELECT event_id, 'codex|local|'||p||'|'||event_type||'|'||event_id AS dedup_key, 'v1|codex|wsl:U|'||octet_length(encode(p))||':'||p||'|'||octet_length(encode(coalesce(fp,'nofp')))||':'||coalesce(fp,'nofp')||'|5|0|0-'||event_id AS token,
