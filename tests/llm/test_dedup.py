@@ -141,6 +141,28 @@ def test_warc_rejects_magic_inside_payloads(spark, tmp_path):
     assert {tuple(r)[:5] for r in got} == want and len(got) == len(rows) and all(r.target_ok for r in got)
 
 
+def test_warc_records_survive_other_splits(spark, tmp_path):
+    fake = f"{warc.MAGIC}WARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n"
+    rows = [(k, "u", f"{k} " + (fake * (k % 4) + "x" * 900 if k % 3 == 0 else "y" * 700)) for k in range(120)]
+    df, path = spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w")
+    warc.write(df.coalesce(2), path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for first, then in (("9k", "23k"), ("100k", "5k")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", first)
+            got = warc.read(spark, path)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", then)
+            assert {(r.page_id, r.payload_digest) for r in got.collect()} == {(k, sha1(h)) for k, _, h in rows}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_warc_ignores_other_columns(spark):
+    rows = [(1, "u", "a", "x", 3), (2, None, "a", "y", 4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, file string, digest int")
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()) == [(1, "response", None), (2, "revisit", 1)]
+
+
 def test_warc_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 

@@ -1,10 +1,11 @@
 """WARC archives: records written and read by Spark's own text source, boundaries verified by their chain.
 
 Reading splits the files at every ``WARC/1.0`` line, wherever it stands, so tasks need no common view of a
-file. Each piece that begins with a plausible header is a candidate and names its successor's offset. Runs of
-candidates that follow each other are folded into one node, and pointer jumping over the nodes from each
-file's start keeps the reachable ones: a magic inside a payload is never reached, and its text goes back to
-the record around it. Everything is DataFrame operations.
+file. Each piece that begins with a plausible header is a candidate and names its successor's offset. Within
+a task's split candidates that follow each other are folded into one node, and pointer jumping over the nodes
+from each file's start keeps the reachable ones: a magic inside a payload is never reached, and its text goes
+back to the record around it. Pieces are known by file and byte offset, whatever the splits, so that text
+which is read a second time finds its record. Everything is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -80,15 +81,12 @@ def _field(name: str) -> Column:
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """What stands between magics: value, file, split, and k, which rises within a split."""
+    """What stands between magics: value, file, split, and k, which rises within a split. split and k mean something within one plan only."""
     return spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("k"))
 
 
 def candidates(raw: DataFrame) -> DataFrame:
-    """Pieces of the files: file, off, size (both with the magic), next (null: no header) and head fields.
-
-    off comes from running sums over the pieces of one split and over the splits of one file.
-    """
+    """Pieces of the files, with the head fields of those that have a head; span: how far off the successor is (null: no head)."""
     raw = raw.withColumn("bytes", F.octet_length("value").cast("long"))
     end = F.instr("value", "\r\n\r\n")
     raw = raw.withColumn("head", F.when(end > 0, F.concat(F.lit("\r\n"), F.substring(F.col("value"), F.lit(1), end - 1)))).withColumn("head_bytes", (F.octet_length("head") + 2).cast("long"))
@@ -113,6 +111,23 @@ def candidates(raw: DataFrame) -> DataFrame:
     return raw
 
 
+def _before(rows: DataFrame, order: str, value: Column, total, pick) -> Column:
+    """``total`` of ``value`` over what stands before a row, ``pick(within its split, in earlier splits)``: no task sees a whole file."""
+    inside = W.partitionBy("file", "split").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_within", total(value).over(inside))
+    splits = rows.groupBy("file", "split").agg(total(value).alias("_all"))
+    earlier = total("_all").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1))  # a row a split
+    splits = splits.select("file", "split", earlier.alias("_earlier"))
+    return rows.join(splits, ["file", "split"]).withColumn("_before", pick(F.col("_within"), F.col("_earlier"))).drop("_within", "_earlier")
+
+
+def placed(raw: DataFrame) -> DataFrame:
+    """Pieces (file, split, k, bytes) with off, the offset of their magic; what stands before a file's first magic is no piece."""
+    size = F.col("bytes") + len(MAGIC)
+    at = _before(raw, "k", size, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    return at.withColumn("off", F.col("_before") - len(MAGIC)).drop("_before").where("off >= 0")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, target_ok) of every true record.
 
@@ -120,21 +135,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     of a revisit. target_ok: the digest in the header is the payload's. Pieces before the first record of a
     file, and candidates the chain doesn't reach, are no records. An empty folder gives no rows.
     """
-    split_text = pieces(spark, path)  # read twice by one listing, so that k means the same
-    raw = stored(candidates(split_text), "candidates")
-    inside = W.partitionBy("file", "split").orderBy("k")
-    size = F.col("bytes") + len(MAGIC)
-    at = raw.withColumn("within", F.sum(size).over(inside.rowsBetween(W.unboundedPreceding, -1)))
-    heads = raw.groupBy("file", "split").agg(F.sum(size).alias("all"))
-    heads = heads.select("file", "split", F.coalesce(F.sum("all").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    at = at.join(heads, ["file", "split"]).withColumn("off", F.col("before") + F.coalesce("within", F.lit(0)) - len(MAGIC))
-    at = at.where("off >= 0").withColumn("next", F.col("off") + F.col("span"))  # what stands before a first magic is no piece
-    # fold runs: a candidate that its predecessor in the file names needs no jump
-    line = W.partitionBy("file").orderBy("off")
+    at = placed(stored(candidates(pieces(spark, path)), "candidates")).withColumn("next", F.col("off") + F.col("span"))
+    # fold runs within a split: a candidate that its predecessor names needs no jump
+    line = W.partitionBy("file", "split").orderBy("off")
     at = at.withColumn("linked", F.coalesce(F.lag("next").over(line) == F.col("off"), F.lit(False)))
-    at = stored(at.withColumn("run", F.sum(F.when(F.col("linked"), 0).otherwise(1)).over(line)), "pieces")
-    tails = at.groupBy("file", "run").agg(F.min("off").alias("start"), F.max_by("next", "off").alias("leaves"))
-    exits = tails.where("leaves is not null").select("file", "run", "leaves")
+    at = stored(at.withColumn("run", F.last(F.when(~F.col("linked"), F.col("off")), True).over(line.rowsBetween(W.unboundedPreceding, 0))), "pieces")
+    exits = at.groupBy("file", "run").agg(F.max_by("next", "off").alias("leaves")).where("leaves is not null")
     jump = exits.join(at.select("file", F.col("off").alias("leaves"), F.col("run").alias("to")), ["file", "leaves"]).select("file", "run", "to", F.col("leaves").alias("enter"))
     jump = stored(jump, "jumps")
     reached = stored(at.where("off = 0").select("file", "run", F.col("off").alias("enter")), "reached")
@@ -149,17 +155,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         n = more
         then = jump.select("file", F.col("run").alias("to"), F.col("to").alias("to2"), F.col("enter").alias("e2"))
         jump = stored(jump.join(then, ["file", "to"]).select("file", "run", F.col("to2").alias("to"), F.col("e2").alias("enter")), "jumps")
-    true = at.join(reached, ["file", "run"]).where("off >= enter").select("file", "off", F.lit(True).alias("real"))
-    # a false candidate's text belongs to the record before it
-    done = at.drop("within", "before", "all").join(true, ["file", "off"], "left").withColumn("real", F.coalesce("real", F.lit(False)))
+    done = at.join(reached, ["file", "run"], "left").withColumn("real", F.coalesce(F.col("off") >= F.col("enter"), F.lit(False)))
     clear = done.where("real and whole").select("id", "type", "refers", "said", "said_bytes", "digest", "payload_bytes")
-    home = F.max(F.when(F.col("real"), F.col("off"))).over(line.rowsBetween(W.unboundedPreceding, 0))
-    split = done.withColumn("home", home).where("home is not null")
-    broken = split.where("real and not whole").select("file", F.col("off").alias("home"))
-    parts = stored(split.join(broken, ["file", "home"], "left_semi").select("file", "split", "k", "home", "off", "real", "id", "type", "refers", "said", "said_bytes", "span"), "broken")
-    # pieces that look whole hold their bytes no longer, so they are read again by offset with their text
-    if not parts.isEmpty():
-        clear = clear.union(_texts(split_text, parts))
+    # a false candidate's text belongs to the record before it
+    broken = stored(done.where("real and not whole").select("file", F.col("off").alias("home")), "broken")
+    if not broken.isEmpty():
+        there = done.join(broken.select("file").distinct(), "file", "left_semi").select("file", "split", "off", "real", "id", "type", "refers", "said", "said_bytes", "span")
+        home = _before(there, "off", F.when(F.col("real"), F.col("off")), F.max, F.coalesce)
+        home = home.withColumn("home", F.when(F.col("real"), F.col("off")).otherwise(F.col("_before"))).drop("_before", "split")
+        clear = clear.union(_texts(pieces(spark, path), stored(home.join(broken, ["file", "home"], "left_semi"), "parts")))
     return clear.select(
         F.when(F.col("id") != "", F.col("id").cast("long")).alias("page_id"),
         F.when(F.col("type") == "revisit", F.col("said_bytes").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
@@ -171,8 +175,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _texts(raw: DataFrame, parts: DataFrame) -> DataFrame:
-    """Records that hold a magic, put together from their pieces."""
-    own = raw.join(parts, ["file", "split", "k"])
+    """Records that hold a magic, put together from their pieces, which are read again. Fails if one isn't found."""
+    some = raw.join(parts.select("file").distinct(), "file", "left_semi").withColumn("bytes", F.octet_length("value").cast("long"))
+    found = placed(some).select("file", "off", "value")
+    own = parts.join(found, ["file", "off"], "left").withColumn("value", F.coalesce("value", F.raise_error(F.concat(F.lit("no text at "), F.col("off").cast("string"), F.lit(" of "), F.col("file"))).cast("string")))
     one = own.groupBy("file", "home").agg(
         F.array_sort(F.collect_list(F.struct("off", "value"))).alias("p"),
         *(F.max(F.when(F.col("real"), F.col(c))).alias(c) for c in ("id", "type", "refers", "said", "said_bytes", "span")),
