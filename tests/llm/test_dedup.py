@@ -107,6 +107,31 @@ def test_substring_brute_force(spark, docs, packet, bucket):
     assert got == brute_removed(own)
 
 
+def test_words_that_a_polynomial_takes_for_equal(spark):
+    """Thue-Morse words of 2048 letters have equal polynomial hashes modulo 2^64 whatever the odd base."""
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{k}" for k in range(12))
+    got = {r.doc_id: r.n_removed for r in substring.repeats(spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{b} {rest}")], "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+
+
+def test_windows_are_tied_to_their_anchors():
+    w = np.array([5, 5, 5, 9], np.uint64)
+    h, low, anchor, index = substring._first(w, np.array([3, 1, 2, 1]), np.array([7, 8, 7, 7], np.uint64))
+    assert h.tolist() == [5, 5, 9] and anchor.tolist() == [7, 8, 7] and low.tolist() == [2, 1, 1] and index.tolist() == [0, 1, 0, 2]
+    words = substring.Words([b"one two three"])
+    assert not set(words.hashes.tolist()) & set(words.other.tolist())
+
+
+def test_buckets_are_top_bits():
+    h = np.sort(np.random.default_rng(0).integers(0, 2**64, 500, dtype=np.uint64))
+    for bits in (0, 1, 5, 20):
+        some, starts, ends = substring._ranges(h, bits)
+        assert starts[0] == 0 and ends[-1] == 500 and (starts[1:] == ends[:-1]).all() and len(some) <= min(500, 1 << bits)
+        assert all(int(x) >> 64 - bits == s for s, a, e in zip(some, starts, ends, strict=True) for x in h[a:e]) if bits else some.tolist() == [0]
+
+
 def test_substring_spans_nulls_and_names(spark):
     text = " ".join(f"w{k}" for k in range(30))
     df = spark.createDataFrame([(1, text), (2, "x " + text + " y"), (None, text), (3, None)], "doc_id long, text string")

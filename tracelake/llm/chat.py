@@ -73,16 +73,19 @@ def read_back(formatted: DataFrame, *, text_col: str = "formatted", mask_col: st
     """``formatted`` with turns (array of role, text) and trained, the texts under the mask, unescaped.
 
     The text is cut at its marks; the mask's runs are counted off against the same cuts. trained is null
-    where they don't fit.
+    where they don't fit. A null text has null turns. All columns come back as they were; none may be called
+    turns or trained.
     """
+    if clash := {"turns", "trained"} & set(formatted.columns):
+        raise ValueError(f"conversations already have {sorted(clash)}")
     marks = "|".join("\\Q" + m + "\\E" for m in (START, TEXT, NEXT, END))
-    own = formatted.withColumn("_parts", F.split(F.col(text_col), "\\Q" + START + "\\E"))
-    block = F.filter("_parts", lambda b: b != "")
-    own = own.withColumn("_blocks", F.transform(block, lambda b: F.split(F.regexp_replace(b, "\\Q" + END + "\\E$", ""), "\\Q" + TEXT + "\\E", 2)))
-    turns = F.flatten(F.transform("_blocks", lambda b: F.transform(F.split(F.get(b, F.lit(1)), "\\Q" + NEXT + "\\E", -1), lambda x: F.struct(unescape(F.get(b, F.lit(0))).alias("role"), unescape(x).alias("text")))))
+    own = formatted.select(F.struct(*formatted.columns).alias("row"), F.col(text_col).alias("text"), F.col(mask_col).alias("mask"))
+    block = F.filter(F.split("text", "\\Q" + START + "\\E"), lambda b: b != "")
+    own = own.withColumn("blocks", F.transform(block, lambda b: F.split(F.regexp_replace(b, "\\Q" + END + "\\E$", ""), "\\Q" + TEXT + "\\E", 2)))
+    turns = F.flatten(F.transform("blocks", lambda b: F.transform(F.split(F.get(b, F.lit(1)), "\\Q" + NEXT + "\\E", -1), lambda x: F.struct(unescape(F.get(b, F.lit(0))).alias("role"), unescape(x).alias("text")))))
     own = own.withColumn("turns", turns)
-    cuts = F.filter(F.split(F.col(text_col), f"(?={marks})|(?<={marks})"), lambda x: x != "")
-    own = own.withColumn("_cuts", cuts)
-    fits = (F.size("_cuts") == F.size(mask_col)) & F.forall(F.zip_with("_cuts", mask_col, lambda x, r: F.char_length(x) == r["chars"]), lambda ok: F.coalesce(ok, F.lit(False)))
-    under = F.transform(F.filter(F.zip_with("_cuts", mask_col, lambda x, r: F.struct(x.alias("x"), r["train"].alias("train"))), lambda p: p["train"]), lambda p: unescape(p["x"]))
-    return own.withColumn("trained", F.when(fits, under)).drop("_parts", "_blocks", "_cuts")
+    cuts = F.filter(F.split("text", f"(?={marks})|(?<={marks})"), lambda x: x != "")
+    own = own.withColumn("cuts", cuts)
+    fits = (F.size("cuts") == F.size("mask")) & F.forall(F.zip_with("cuts", "mask", lambda x, r: F.char_length(x) == r["chars"]), lambda ok: F.coalesce(ok, F.lit(False)))
+    under = F.transform(F.filter(F.zip_with("cuts", "mask", lambda x, r: F.struct(x.alias("x"), r["train"].alias("train"))), lambda p: p["train"]), lambda p: unescape(p["x"]))
+    return own.select("row.*", "turns", F.when(fits, under).alias("trained"))

@@ -247,5 +247,5 @@ def _has(words: list[bytes], short: tuple[bytes, ...]) -> float:
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without those that hold a test item; a null id is never found, so its row stays."""
-    bad = contamination(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("_id"), "left_anti")
+    bad = contamination(docs, benchmark, id_col=id_col, **options).select(id_col).distinct()
+    return docs.join(bad, id_col, "left_anti").select(*docs.columns)

@@ -1,15 +1,18 @@
 """License scans: MinHash bands over overlapping text windows, then exact shingle containment.
 
-Everything is Spark expressions. Templates of similar length form a class with its own window: a window of
-``top + stride - 1`` words every ``stride`` words holds any run of ``top`` words whole. From the window's and
-the template's numbers of shingles follows the least Jaccard similarity of a match, and from it the number
-of bands of one row for which a match collides with probability ``1 - miss``. Only documents that could
-match are cut into windows: a template that is matched to ``containment`` shows the word that most of its
-shingles hold, so texts without any such word are passed over without loss.
+Everything is Spark expressions. Templates of similar length form a class with a span, the next power of two
+to their words. A match is a run of ``span`` words that holds enough of a template's shingles. A window of
+``span + stride - 1`` words every ``stride`` words holds any run whole. From the window's and the template's
+numbers of shingles follows the least Jaccard similarity of a window with a match, and from it the number of
+bands of one row, each with a hash of its own, for which it collides with probability ``1 - miss``. Windows
+of all classes are cut in one pass, and of those that collide each run is compared. Only documents that could
+match are cut: the shingles a match must hold can't all avoid a template's anchor words, so texts without any
+such word are passed over without loss.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +28,11 @@ TEMPLATES = {
     "Apache-2.0-header": 'you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
     "MIT-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
     "BSD-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
 }
 _WORD = "[^A-Za-z0-9]+"
@@ -53,81 +61,90 @@ def _plain(text: str) -> list[str]:
     return out
 
 
+def _sets(ws: list[str]) -> set[tuple[str, ...]]:
+    return {tuple(ws[k : k + SHINGLE]) for k in range(len(ws) - SHINGLE + 1)}
+
+
+def span_of(words: int) -> int:
+    """The length of the runs that a template of so many words is looked for in: 8, 16, 32 ..."""
+    span = 8
+    while span < words:
+        span *= 2
+    return span
+
+
 def classes(templates: dict[str, str], containment: float, miss: float = 1e-6) -> list[dict]:
-    """Windows and bands for templates of five words or more, by length: up to 8, 16, 32 ... words."""
+    """Windows and bands for templates of five words or more, by span."""
     out: dict[int, dict] = {}
     for name, text in sorted(templates.items()):
         ws = _plain(text)
         if len(ws) < SHINGLE:
             raise ValueError(f"template {name} has fewer than {SHINGLE} words")
-        top = 8
-        while top < len(ws):
-            top *= 2
-        c = out.setdefault(top, {"top": top, "stride": max(4, top // 2), "names": [], "least": 10**9})
+        span = span_of(len(ws))
+        c = out.setdefault(span, {"span": span, "stride": max(4, span // 2), "names": [], "similar": 1.0})
         c["names"].append(name)
-        c["least"] = min(c["least"], len({tuple(ws[k : k + SHINGLE]) for k in range(len(ws) - SHINGLE + 1)}))
+        n, inside = len(_sets(ws)), span + c["stride"] - SHINGLE
+        held = math.ceil(containment * n)
+        c["similar"] = min(c["similar"], held / (inside + n - held))
     for c in out.values():
-        c["window"] = c["top"] + c["stride"] - 1
-        inside = c["window"] - SHINGLE + 1
-        held = math.ceil(containment * c["least"])
-        similar = held / (inside + c["least"] - held)
-        c["bands"] = math.ceil(math.log(miss) / math.log(1 - similar)) if similar < 1 else 1
+        c["bands"] = math.ceil(math.log(miss) / math.log(1 - c["similar"])) if c["similar"] < 1 else 1
     return [out[k] for k in sorted(out)]
 
 
 def anchors(templates: dict[str, str], containment: float) -> list[str]:
-    """For each template a word, the longest, that is in more of its shingles than a match may lack."""
+    """Words of which any match holds one: for each template the longest, until more shingles hold them than a match may lack."""
     found = set()
     for text in templates.values():
         ws = _plain(text)
-        sets = {tuple(ws[k : k + SHINGLE]) for k in range(len(ws) - SHINGLE + 1)}
+        sets = _sets(ws)
         may_lack = len(sets) - math.ceil(containment * len(sets))
-        fit = [w for w in sorted(set(ws)) if sum(w in s for s in sets) > may_lack]
-        if not fit:  # no single word is sure: every document could match
-            return []
-        found.add(max(fit, key=lambda w: (len(w), w)))
-    return sorted(found)
-
-
-def _band(k: Column) -> Column:
-    """A band's permutation of 64 bits is an exclusive or with this."""
-    return F.xxhash64(k, F.lit(11))
-
-
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, containment: float = 0.8, most_templates: int = 10_000) -> DataFrame:
-    """(id_col, license, containment, windows): templates that a window of a text holds.
-
-    A match is a window with at least ``containment`` of the template's distinct five-word shingles; the best
-    window's share and the number of such windows are returned. Null, empty and shorter texts match nothing;
-    ids that are null are dropped; documents with equal ids are one. At most ``most_templates`` templates are
-    accepted, which bounds what is broadcast.
+        covered: set[tuple[str, ...]] = set()
+        for w in sorted(set(ws), key=lambda w: (-len(w), w)):
+            own = {s for s in sets if w in s} - covered
+            if own:
+                covered |= own
+                found.add(w)
+            if len(covered) > may_lack:
+                break
+    return sorted(w for w in found if not any(o != w and o in w for o in found))  # a word inside another tells for both
+
+
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, containment: float = 0.8, most_broadcast: int = 10_000) -> DataFrame:
+    """(id_col, license, containment): templates that a run of words of a text holds.
+
+    A match is a run of the template's span (8, 16, 32 ... words, the first not below its own number) with at
+    least ``containment`` of its distinct five-word shingles; a shorter text is one run. The best run's share
+    is returned. Null, empty and shorter texts match nothing; ids that are null are dropped; documents with
+    equal ids are one; an empty table gives no rows; other columns are ignored. Up to ``most_broadcast``
+    templates are broadcast; more are joined by band and key.
     """
-    spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
-    if len(templates) > most_templates:
-        raise ValueError("too many templates")
-    catalogue = spark.createDataFrame([(k, v) for k, v in templates.items()], "license string, text string")
-    catalogue = catalogue.withColumn("ws", words(F.col("text"))).withColumn("own", F.array_distinct(shingle_hashes(F.col("ws"))))
+    few = lambda df: F.broadcast(df) if len(templates) <= most_broadcast else df
+    found = classes(templates, containment)
+    spark = docs.sparkSession
+    rows = F.array(*(F.struct(F.lit(k).alias("class"), F.lit(n).alias("license"), F.lit(templates[n]).alias("text")) for k, c in enumerate(found) for n in c["names"]))
+    catalogue = spark.range(1).select(F.explode(rows).alias("t")).select("t.*").withColumn("own", F.array_distinct(shingle_hashes(words(F.col("text")))))
     some = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    sure = anchors(templates, containment)
-    if sure:
-        low = F.lower("text")
-        some = some.where(F.greatest(*(F.contains(low, F.lit(w)) for w in sure), F.lit(False)))
-    some = some.withColumn("ws", words(F.col("text"))).select("id", "ws").where(F.size("ws") >= SHINGLE)
-    some = some.withColumn("hs", shingle_hashes(F.col("ws"))).select("id", "hs")
-    out = None
-    for c in classes(templates, containment):
-        inside, stride, bands = c["window"] - SHINGLE + 1, c["stride"], c["bands"]
-        last = F.greatest(F.size("hs") - 1, F.lit(0))
-        wins = some.select("id", "hs", F.explode(F.sequence(F.lit(0), last, F.lit(stride))).alias("at")).select("id", "at", F.slice("hs", F.col("at") + 1, inside).alias("win"))
-        # each band's smallest value; a template of the class collides where it has the same
-        minima = lambda arr: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.array_min(F.transform(arr, lambda h: h.bitwiseXOR(_band(k)))))  # noqa: B023, E731
-        keys = catalogue.where(F.col("license").isin(c["names"])).select("license", "own", F.posexplode(minima(F.col("own"))).alias("band", "key"))
-        met = wins.select("id", "at", "win", F.posexplode(minima(F.col("win"))).alias("band", "key")).join(F.broadcast(keys), ["band", "key"])
-        met = met.withColumn("share", F.size(F.array_intersect("own", "win")) / F.size("own")).where(F.col("share") >= containment)
-        found = met.groupBy("id", "license", "at").agg(F.max("share").alias("share"))
-        out = found if out is None else out.union(found)
-    return out.groupBy(F.col("id").alias(id_col), "license").agg(F.max("share").alias("containment"), F.countDistinct("at").alias("windows"))
+    low = F.lower("text")
+    some = some.where(functools.reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in anchors(templates, containment))))
+    some = some.withColumn("hs", shingle_hashes(words(F.col("text")))).select("id", "hs").where(F.size("hs") > 0)
+    # windows of all classes at once; a band's smallest value is its key
+    starts = lambda c: F.sequence(F.lit(0), F.greatest(F.size("hs") - 1, F.lit(0)), F.lit(c["stride"]))
+    window = lambda k, c: F.transform(starts(c), lambda at: F.struct(F.lit(k).alias("class"), F.lit(c["bands"]).alias("bands"), F.slice("hs", at + 1, c["span"] + c["stride"] - SHINGLE).alias("win")))
+    wins = some.select("id", F.explode(F.concat(*(window(k, c) for k, c in enumerate(found)))).alias("w")).select("id", "w.*")
+    minima = lambda arr, bands: F.transform(F.sequence(F.lit(0), bands - 1), lambda k: F.array_min(F.transform(arr, lambda h: F.xxhash64(h, k))))
+    bands = functools.reduce(lambda col, kc: F.when(F.col("class") == kc[0], kc[1]["bands"]).otherwise(col), enumerate(found), F.lit(1))
+    keys = catalogue.withColumn("bands", bands).select("class", "license", F.posexplode(minima(F.col("own"), F.col("bands"))).alias("band", "key"))
+    met = wins.select("id", "class", "win", F.posexplode(minima(F.col("win"), F.col("bands"))).alias("band", "key")).join(few(keys), ["class", "band", "key"])
+    met = met.select("id", "license", "win").distinct().join(few(catalogue.select("license", "class", "own")), "license")
+    runs = functools.reduce(lambda col, kc: F.when(F.col("class") == kc[0], _best(kc[1]["span"], kc[1]["stride"])).otherwise(col), enumerate(found), F.lit(0))
+    met = met.withColumn("share", runs / F.size("own")).where(F.col("share") >= containment)
+    return met.groupBy(F.col("id").alias(id_col), "license").agg(F.max("share").alias("containment"))
+
+
+def _best(span: int, stride: int) -> Column:
+    """Most of the template's shingles that one run of a window holds."""
+    return F.array_max(F.transform(F.sequence(F.lit(0), F.lit(stride - 1)), lambda s: F.size(F.array_intersect("own", F.slice("win", s + 1, span - SHINGLE + 1)))))
 
 
 def licensed(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:

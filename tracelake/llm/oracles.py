@@ -53,18 +53,16 @@ def _op9() -> str:
 
 
 def _op10() -> str:
-    from tracelake.llm.licenses import TEMPLATES, classes
+    from tracelake.llm.licenses import TEMPLATES
 
-    values = ", ".join(f"('{n}', '{t}')" for n, t in TEMPLATES.items())
-    wins = ", ".join(f"('{n}', {c['stride']}, {c['window']})" for c in classes(TEMPLATES, 0.8) for n in c["names"])
+    values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in TEMPLATES.items())
     words = r"list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '')"
     grams = "list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))"
-    return f"""WITH t(license, text) AS (VALUES {values}), k(license, stride, win) AS (VALUES {wins}), tw AS (SELECT license, {words} AS w FROM t),
-      ts AS (SELECT license, len(list_distinct({grams})) AS n, unnest(list_distinct({grams})) AS g FROM tw),
+    return f"""WITH t(license, text) AS (VALUES {values}), tw AS (SELECT license, {words} AS w FROM t),
+      ts AS (SELECT license, (8 * pow(2, greatest(0, ceil(log2(len(w) / 8.0)))))::INT AS span, len(list_distinct({grams})) AS n, unnest(list_distinct({grams})) AS g FROM tw),
       d AS (SELECT doc_id, {words} AS w FROM documents WHERE text IS NOT NULL), ds AS (SELECT doc_id, unnest({grams}) AS g, unnest(range(len(w) - 4)) AS i FROM d WHERE len(w) >= 5),
-      h AS (SELECT doc_id, license, n, stride, win, g, i FROM ds JOIN ts USING (g) JOIN k USING (license)),
-      x AS (SELECT doc_id, license, n, win, stride, g, i, unnest(range(greatest(0, i - win + 5 + stride - 1) // stride * stride, i + 1, stride)) AS pos FROM h),
-      f AS (SELECT DISTINCT doc_id, license FROM x WHERE i < pos + win - 4 GROUP BY doc_id, license, n, pos HAVING count(DISTINCT g) / n >= 0.8)
+      h AS (SELECT doc_id, license, span, n, g, i FROM ds JOIN ts USING (g)),
+      f AS (SELECT DISTINCT a.doc_id, a.license FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.license = b.license AND b.i BETWEEN a.i AND a.i + a.span - 5 GROUP BY a.doc_id, a.license, a.n, a.i HAVING count(DISTINCT b.g) / a.n >= 0.8)
       SELECT documents.doc_id, count(license) AS n_licenses, coalesce(string_agg(license, ' | ' ORDER BY license), '') AS licenses FROM documents LEFT JOIN f USING (doc_id) GROUP BY documents.doc_id"""
 
 

@@ -1,10 +1,11 @@
 """SentencePiece ids by Unigram Viterbi over a double-array trie.
 
-The vocabulary and the pieces' scores come from a public model file, whose path is a parameter. The trie is
-over UTF-8 bytes, as arrays ``base``, ``check`` and ``piece``: from node s byte c leads to t = base[s] + c if
-check[t] = s. Whitespace markers stand only at the front of pieces, and line feeds in none, so the best path
-of a text is that of its chunks; each batch's distinct chunks are solved together, all chunks of similar
-length at once, and texts only look chunks up.
+The vocabulary comes from a public model file, whose path is a parameter. That file is a byte-pair model, which
+ranks its pieces and has no probabilities, and tokenizers aren't trained here; so a piece's log score is that
+of Zipf's law for its rank. The trie is over UTF-8 bytes, as arrays ``base``, ``check`` and ``piece``: from
+node s byte c leads to t = base[s] + c if check[t] = s. Whitespace markers stand only at the front of pieces,
+and line feeds in none, so the best path of a text is that of its chunks; each batch's distinct chunks are
+solved together, all chunks of similar length at once, long ones place by place; texts only look chunks up.
 """
 
 from __future__ import annotations
@@ -14,13 +15,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.llm.common import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+#: Stands for the marker's own character in a text; no byte of UTF-8.
+_RAW = b"\xff"
+#: Chunks of more bytes are solved alone.
+LONG = 512
 
 
 class Vocabulary:
@@ -46,6 +50,10 @@ class Vocabulary:
         for k in plain:
             if MARK in self.text[k].decode().lstrip(MARK) or b"\n" in self.text[k]:
                 raise ValueError("a piece holds a marker or a line feed inside")
+        # the rank of a piece among the plain ones, best first, and its share by Zipf's law
+        rank = np.empty(len(plain), np.int64)
+        rank[np.lexsort((plain, -self.score[plain]))] = np.arange(len(plain))
+        self.score[plain] = -np.log(rank + 1.0) - np.log((1.0 / np.arange(1, len(plain) + 1)).sum())
         self.unknown = self.score[plain].min() - 10  # of a character that no piece covers alone
         self.longest = max(len(self.text[k]) for k in plain)
         self._trie({self.text[k]: k for k in plain})
@@ -124,8 +132,15 @@ class Vocabulary:
         at = 0
         while at < n:
             longest = max(1, int(lengths[order[at]]))
+            if longest > LONG:
+                got, num = self._long(chunks[order[at]])
+                counts[order[at]] = num
+                ids.append(got)
+                places.append(order[at : at + 1])
+                at += 1
+                continue
             top = longest + (longest >> 3)
-            to = at + int(np.searchsorted(lengths[order[at:]], top, "right"))
+            to = at + int(np.searchsorted(lengths[order[at:]], min(top, LONG), "right"))
             to = min(max(to, at + 1), at + max(1, 1_000_000 // (top + 1)))
             own = order[at:to]
             got, num = self._solve([chunks[k] for k in own], lengths[own])
@@ -142,6 +157,65 @@ class Vocabulary:
         out[np.repeat(starts[who], num) + np.arange(len(flat)) - np.repeat(np.cumsum(num) - num, num)] = flat
         return out, counts
 
+    def _matches(self, text: np.ndarray, s: int, e: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces that begin in [s, e): where, their length and number, by place and length."""
+        at, node, found = np.arange(s, e), np.zeros(e - s, np.int32), []
+        for n in range(1, self.longest + 1):
+            ok = at + n <= len(text)
+            at, node = at[ok], node[ok]
+            nxt = self.base[node] + text[at + n - 1]
+            ok = self.check[nxt] == node
+            at, node = at[ok], nxt[ok]
+            if not len(at):
+                break
+            k = self.piece[node]
+            hit = k >= 0
+            found.append((at[hit], np.full(hit.sum(), n), k[hit]))
+        a, n, k = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+        order = np.lexsort((n, a))
+        return a[order], n[order], k[order]
+
+    def _long(self, chunk: bytes, block: int = 1 << 14) -> tuple[np.ndarray, int]:
+        """One chunk's best path: the pieces of a block of places are found together, scores then go from place to place."""
+        text = np.frombuffer(chunk, np.uint8)
+        size, ahead = len(text), self.longest + 4
+        back, last = np.zeros(size + 1, np.uint8), np.full(size + 1, -1, np.int32)
+        width = np.ones(256, np.int64)
+        width[0xC0:], width[0xE0:], width[0xF0:] = 2, 3, 4
+        score, none = self.score, float("-inf")
+        best = [0.0] + [none] * ahead  # of the places from s on
+        for s in range(0, size, block):
+            e = min(size, s + block)
+            at, num, ids = self._matches(text, s, e)
+            cuts = np.searchsorted(at, np.arange(s, e + 1)).tolist()
+            gain, num, ids = score[ids].tolist(), num.tolist(), ids.tolist()
+            char = np.minimum(width[text[s:e]], size - np.arange(s, e)).tolist()
+            best += [none] * (e - s + ahead + 1 - len(best))
+            for p in range(e - s):
+                now = best[p]
+                if now == none:
+                    continue
+                alone, c = False, char[p]
+                for j in range(cuts[p], cuts[p + 1]):
+                    n = num[j]
+                    alone = alone or n == c
+                    if now + gain[j] > best[p + n]:
+                        best[p + n] = now + gain[j]
+                        back[s + p + n], last[s + p + n] = n, ids[j]
+                if not alone and now + self.unknown > best[p + c]:
+                    best[p + c] = now + self.unknown
+                    back[s + p + c], last[s + p + c] = c, -1
+            best = best[e - s :]
+        out, p = [], size
+        while p:
+            n = int(back[p])
+            if last[p] >= 0:
+                out.append(int(last[p]))
+            else:
+                out += [int(self.byte[b]) for b in chunk[p - n : p][::-1]]
+            p -= n
+        return np.array(out[::-1], np.int32), len(out)
+
     def _solve(self, chunks: list[bytes], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m, width = len(chunks), int(lengths.max()) if len(chunks) else 0
         if not width:
@@ -218,25 +292,33 @@ class Vocabulary:
             if not t:
                 continue
             n = len(flow)
-            for line, part in enumerate(t.encode("utf-8", "replace").replace(b" ", mark).split(b"\n")):
+            for line, part in enumerate(t.encode("utf-8", "replace").replace(mark, _RAW).replace(b" ", mark).split(b"\n")):
                 if line:
                     flow.append(put(b"\n", len(seen)))
                 else:
                     part = mark + part
-                words = part.split(mark)
-                if words[0]:
-                    flow.append(put(words[0], len(seen)))
-                blank = mark
-                for w in words[1:-1]:
-                    if w:
-                        flow.append(put(blank + w, len(seen)))
-                        blank = mark
-                    else:
-                        blank += mark
-                if len(words) > 1:
-                    flow.append(put(blank + words[-1], len(seen)))
+                for raw, own in enumerate(part.split(_RAW)):
+                    if raw:
+                        flow.append(put(_RAW, len(seen)))
+                    words = own.split(mark)
+                    if words[0]:
+                        flow.append(put(words[0], len(seen)))
+                    blank = mark
+                    for w in words[1:-1]:
+                        if w:
+                            flow.append(put(blank + w, len(seen)))
+                            blank = mark
+                        else:
+                            blank += mark
+                    if len(words) > 1:
+                        flow.append(put(blank + words[-1], len(seen)))
             counts[k] = len(flow) - n
         ids, each = self.solve(list(seen))
+        if _RAW in seen:  # the character that markers look like comes as its bytes, so that it isn't read as a blank
+            j = seen[_RAW]
+            at = int(each[:j].sum())
+            ids = np.concatenate((ids[:at], self.byte[list(mark)], ids[at + each[j] :]))
+            each[j] = len(mark)
         starts = np.cumsum(each) - each
         path = np.array(flow, np.int64)
         num = each[path]
@@ -272,8 +354,10 @@ def _groups(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
 def encode(docs: DataFrame, *, text_col: str = "text", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
     """``docs`` with ids_col, array<int>: the ids of the whole text's best segmentation.
 
-    Line feeds and other characters that no piece covers come as byte pieces. A null text has null ids, an
-    empty one none. Texts of any length are solved chunk by chunk. Other columns stay; ids_col must be new.
+    Line feeds, U+2581 and other characters that no piece covers come as byte pieces, so that any text comes
+    back from its ids. A null text has null ids, an empty one none; repeated rows have equal ids. Of paths
+    with equal scores the one whose last piece is longer wins at each place. Texts of any length are solved
+    chunk by chunk. An empty table gives no rows. Other columns stay; ids_col must be new.
     """
     if ids_col in docs.columns:
         raise ValueError(f"documents already have {ids_col}")

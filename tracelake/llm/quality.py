@@ -157,11 +157,11 @@ def _matrix(df: DataFrame) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, positives: int = 8000, web: int = 12000, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> dict | None:
-    """A model from at most ``positives`` trusted documents and about ``web`` unlabelled ones, none held out.
+    """A model from at most ``positives`` trusted ids and ``web`` unlabelled ones, none held out.
 
-    None without any positive or any text to learn from.
+    Only features, of a fixed width, come to the driver. None without any positive or any text to learn from.
     """
-    xp = _matrix(_featured(labelled(docs, labels, label, each=positives, id_col=id_col, only=(1,)), text_col))
+    xp = _matrix(_featured(labelled(docs, labels, label, each=positives, id_col=id_col, only=(1,)).select("doc.*"), text_col))
     xu = _matrix(_featured(unlabelled(docs, n=web, id_col=id_col), text_col))
     return train(xp, xu) if len(xp) and len(xu) else None
 

@@ -4,21 +4,26 @@ Documents travel in packets of a few MB (Arrow batches as bytes), so that one ha
 many documents. 1. Seed: of every ``window`` words the smallest hash of ``seed`` words is an anchor
 (winnowing: equal windows have equal anchors). Each packet sends its distinct anchors, with the smallest and
 largest document holding them, to hash buckets, which answer one bit for each: do two documents hold it?
-2. Extend: around shared anchors, both ways, as far as windows hold that anchor, packets send window hashes
-and get one bit for each: does a smaller document elsewhere hold it? 3. Neighbouring repeated windows are
-merged into maximal repeats of at least ``window`` words, which are cut out.
-
-A passage that a third of all documents share is one row a packet in one bucket, not one row a document, and
-no pairs of documents are ever made. Seeds and windows use different hashes of 64 bits, so two windows are
-taken for equal only if 128 bits agree.
+2. Extend: a shared anchor is extended both ways to every window that it is the anchor of; packets send pairs
+of the anchor and the window's hash, and get one bit for each: does a smaller document elsewhere hold the
+same window around the same anchor? 3. Neighbouring repeated windows are merged into maximal repeats of at
+least ``window`` words, which are cut out.
+
+Documents are joined through their anchors' buckets, not in pairs: a passage that a third of all documents
+share is one row a packet in one bucket. Anchor and window hashes come from two families of word hashes with
+bases of their own (words over 64 bytes are hashed by XXH3, as polynomials modulo 2^64 have known collisions
+among long words), so windows are taken for equal if 2 x 64 bits agree. Buckets are the top bits of a hash,
+as many as the texts need for ``bucket_chars`` each; a packet sends rows for those that it has hashes in.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,16 +33,18 @@ from tracelake.llm.common import mix, rolling, small_batches, stored
 
 _P = np.uint64(0x100000001B3 * 0x9E3779B1 & 0xFFFFFFFFFFFFFFFF | 1)
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
+_Q = np.uint64(0x9FB21C651E98DF25)
+_LONG = 64
 _NONE = np.iinfo(np.int64).max
-_powers: list[np.ndarray] = []
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
+def _power(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    if int(base) not in _powers or len(_powers[int(base)][0]) < n:
         size = max(n, 3 << 19)
-        inverse = np.uint64(pow(int(_P), -1, 1 << 64))
-        _powers[:] = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(size, p, np.uint64)))) for p in (_P, inverse)]
-    return _powers[0], _powers[1]
+        inverse = np.uint64(pow(int(base), -1, 1 << 64))
+        _powers[int(base)] = tuple(np.cumprod(np.concatenate(([np.uint64(1)], np.full(size, p, np.uint64)))) for p in (base, inverse))
+    return _powers[int(base)]
 
 
 class Words:
@@ -50,12 +57,26 @@ class Words:
         self.split = split
         joined = np.frombuffer(b" ".join([b" ".join(w) for w in split if w]), np.uint8)
         n = len(joined)
-        up, down = _power(n + 1)
-        total = np.concatenate(([np.uint64(0)], np.cumsum((joined.astype(np.uint64) + np.uint64(7)) * up[:n])))
         spaces = np.flatnonzero(joined == 32)
         starts = np.concatenate(([0], spaces + 1)) if n else np.empty(0, np.int64)
         ends = np.concatenate((spaces, [n])) if n else np.empty(0, np.int64)
-        self.hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        self._joined, self._starts, self._ends = joined, starts, ends
+        self.hashes = self._hashed(_P, 0)
+
+    def _hashed(self, base: np.uint64, seed: int) -> np.ndarray:
+        """A hash of each word, of the family of ``base``."""
+        n, starts, ends = len(self._joined), self._starts, self._ends
+        up, down = _power(base, n + 1)
+        total = np.concatenate(([np.uint64(0)], np.cumsum((self._joined.astype(np.uint64) + np.uint64(7)) * up[:n])))
+        out = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        for k in np.flatnonzero(ends - starts > _LONG):
+            out[k] = xxhash.xxh3_64_intdigest(self._joined[starts[k] : ends[k]].tobytes(), seed)
+        return out
+
+    @functools.cached_property
+    def other(self) -> np.ndarray:
+        """Hashes of a second family."""
+        return self._hashed(_Q, 1)
 
     def windows(self, size: int) -> np.ndarray:
         """Starts of windows within one document."""
@@ -79,41 +100,53 @@ def _anchors(words: Words, window: int, seed: int) -> tuple[np.ndarray, np.ndarr
     return at, low[at]
 
 
-def _first(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes in order, the smallest and largest id of each, and each hash's index."""
-    order = np.lexsort((ids, hashes))
+def _first(hashes: np.ndarray, ids: np.ndarray, tied: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order, the smallest id of each, its largest id or else the hash it is tied to, and each one's index."""
+    order = np.lexsort((ids, hashes) if tied is None else (ids, tied, hashes))
     h, d = hashes[order], ids[order]
-    new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.empty(0, bool)
+    if not len(h):
+        return h, d, d if tied is None else tied, np.empty(0, np.int64)
+    new = np.concatenate(([True], h[1:] != h[:-1]))
+    if tied is not None:
+        t = tied[order]
+        new[1:] |= t[1:] != t[:-1]
     start = np.flatnonzero(new)
     index = np.empty(len(h), np.int64)
     index[order] = np.cumsum(new) - 1
-    return h[start], d[start], d[np.concatenate((start[1:], [len(h)])) - 1] if len(h) else d, index
+    return h[start], d[start], d[np.append(start[1:], len(h)) - 1] if tied is None else t[start], index
+
+
+def _ranges(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets that ordered ``hashes`` fall in, by their top bits, and where each begins and ends."""
+    if not len(hashes):
+        return (np.empty(0, np.int64),) * 3
+    top = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+    start = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
+    return top[start], start, np.append(start[1:], len(top))
 
 
-def _deal(packet: int, hashes: np.ndarray, low: np.ndarray, high: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket: the packet's distinct hashes there. They are in order, so buckets are ranges."""
-    cuts = np.searchsorted(hashes, np.array([(k << 64) // buckets for k in range(buckets)], np.uint64))
-    cuts = np.append(cuts, len(hashes))
-    some = np.flatnonzero(cuts[1:] > cuts[:-1])
-    rows = [np.concatenate((hashes[cuts[k] : cuts[k + 1]].view(np.int64), low[cuts[k] : cuts[k + 1]], high[cuts[k] : cuts[k + 1]])).tobytes() for k in some]
+def _deal(packet: int, hashes: np.ndarray, low: np.ndarray, third: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket that the packet's distinct hashes fall in."""
+    some, starts, ends = _ranges(hashes, bits)
+    body = np.stack((hashes.view(np.int64), low, third.view(np.int64)))
+    rows = [body[:, s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
     yield pa.record_batch([pa.array(some, pa.int32()), pa.array(np.full(len(some), packet)), pa.array(rows, pa.binary())], names=["bucket", "packet", "body"])
 
 
 def _answer(shared: bool):
-    """For each row of a bucket a bit for each hash: shared by two ids, or held by an id below the row's."""
+    """For each row of a bucket a bit for each hash: shared by two ids, or, tied to the same hash, held by an id below the row's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(bucket: int, rows: list) -> pa.RecordBatch:
             parts = [np.frombuffer(b, np.int64).reshape(3, -1) for _, b in rows]
-            h, low, high = np.concatenate(parts, axis=1)
-            distinct, index = np.unique(h.view(np.uint64), return_inverse=True)
-            least = np.full(len(distinct), _NONE)
-            np.minimum.at(least, index, low)
+            h, low, third = np.ascontiguousarray(np.concatenate(parts, axis=1))
             if shared:
+                distinct, least, _, index = _first(h.view(np.uint64), low)
                 most = np.full(len(distinct), np.iinfo(np.int64).min)
-                np.maximum.at(most, index, high)
+                np.maximum.at(most, index, third)
                 bits = (least < most)[index]
             else:
+                _, least, _, index = _first(h.view(np.uint64), low, third.view(np.uint64))
                 bits = least[index] < low
             ends = np.cumsum([p.shape[1] for p in parts])[:-1]
             return pa.record_batch([pa.array([p for p, _ in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array([np.packbits(x).tobytes() for x in np.split(bits, ends)], pa.binary())], names=["packet", "bucket", "bits"])
@@ -132,11 +165,12 @@ def _answer(shared: bool):
     return run
 
 
-def _bits(answers: list[dict], hashes: np.ndarray, buckets: int) -> np.ndarray:
-    cuts = np.append(np.searchsorted(hashes, np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)), len(hashes))
+def _bits(answers: list[dict], hashes: np.ndarray, bits: int) -> np.ndarray:
+    some, starts, ends = _ranges(hashes, bits)
     out = np.zeros(len(hashes), bool)
     for a in answers or ():
-        s, e = cuts[a["bucket"]], cuts[a["bucket"] + 1]
+        k = int(np.searchsorted(some, a["bucket"]))
+        s, e = starts[k], ends[k]
         out[s:e] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=e - s).astype(bool)
     return out
 
@@ -187,7 +221,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     small_batches(docs.sparkSession)
     packets = stored(docs.mapInArrow(pack, "packet long, chars long, body binary"), "packets")
     total = packets.agg(F.sum("chars")).first()[0] or 0
-    buckets = max(1, -(-total // bucket_chars))
+    buckets = max(0, -(-total // bucket_chars) - 1).bit_length()  # in bits
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for packet, body in _each(batches):
@@ -205,21 +239,21 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     seeded = stored(exchange(sent, True), "seeds")
 
     def around(ids, words, answers):
-        """The windows that hold a shared anchor: starts, owners, hashes."""
+        """The windows that hold a shared anchor: starts, owners, hashes, anchors."""
         at, anchors = _anchors(words, window, seed)
         own = ids[words.doc[at]]
         some = own != _NONE
         at, anchors, own = at[some], anchors[some], own[some]
         distinct, _, _, index = _first(anchors, own)
         keep = _bits(answers, distinct, buckets)[index]
-        at, own = at[keep], own[keep]
-        return at, own, rolling(words.hashes, window, _OTHER)[at]
+        at, own, anchors = at[keep], own[keep], anchors[keep]
+        return at, own, rolling(words.other, window, _OTHER)[at] if len(at) else np.empty(0, np.uint64), anchors
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for packet, body, answers in _each(batches):
             _, ids, words = _opened(body, id_col, text_col)
-            _, own, hashes = around(ids, words, answers)
-            yield from _deal(packet, *_first(hashes, own)[:3], buckets)
+            _, own, hashes, anchors = around(ids, words, answers)
+            yield from _deal(packet, *_first(hashes, own, anchors)[:3], buckets)
 
     both = packets.select("packet", "body").join(seeded, "packet", "left")
     found = exchange(both.mapInArrow(extend, "bucket int, packet long, body binary"), False)
@@ -229,8 +263,8 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, body, answers, bits in _each(batches):
             batch, ids, words = _opened(body, id_col, text_col)
-            at, own, hashes = around(ids, words, answers)
-            distinct, low, _, index = _first(hashes, own)
+            at, own, hashes, anchors = around(ids, words, answers)
+            distinct, low, _, index = _first(hashes, own, anchors)
             gone = at[_bits(bits, distinct, buckets)[index] | (low[index] < own)]
             edge = np.zeros(len(words.doc) + 1, np.int64)
             np.add.at(edge, gone, 1)

@@ -178,18 +178,22 @@ def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float((q[k] + (q[k + 1] if k + 1 < len(q) else 0)) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, each: int = 5000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label: str = "toxic") -> dict | None:
-    """The model from at most ``each`` documents of either class, none held out; None if a class is missing.
+def fit(docs: DataFrame, labels: DataFrame, *, each: int = 5000, longest: int = 8192, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label: str = "toxic") -> dict | None:
+    """The model from at most ``each`` ids of either class, none held out; None if a class is missing.
 
-    A fifth of the sample calibrates the scores and each language's threshold.
+    Documents of more than ``longest`` words aren't learned from, only scored, so that what comes to the driver
+    is bounded in words too. A fifth of the sample calibrates the scores and each language's threshold.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([*batch.columns[:3], pa.array([tokens(t.as_py()).tobytes() for t in batch.column(3)], pa.binary())], names=["id", "y", "lang", "x"])
+            own = [tokens(t.as_py()) for t in batch.column(3)]
+            short = pa.array([len(x) <= longest for x in own])
+            yield pa.record_batch([*batch.columns[:3], pa.array([x.tobytes() for x in own], pa.binary())], names=["id", "y", "lang", "x"]).filter(short)
 
     some = labelled(docs, labels, label, each=each, id_col=id_col)
-    some = some.select(F.col("_id").cast("long").alias("id"), F.col("_y").alias("y"), F.col(lang_col).cast("string").alias("lang") if lang_col in docs.columns else F.lit(None).cast("string").alias("lang"), F.col(text_col).cast("string"))
+    of = lambda c: F.col("doc")[c]
+    some = some.select(of(id_col).cast("long").alias("id"), F.col("y"), of(lang_col).cast("string").alias("lang") if lang_col in docs.columns else F.lit(None).cast("string").alias("lang"), of(text_col).cast("string").alias("text"))
     rows = some.mapInArrow(run, "id long, y int, lang string, x binary").toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
     y = rows.column("y").to_numpy().astype(np.float32)
     if not len(y) or y.min() == y.max():
