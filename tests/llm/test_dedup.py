@@ -220,6 +220,42 @@ def test_embeddings_brute_force(spark, chunk):
     for i in (7000, 7001, 7002, 7003, 7004, 7005):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert all(got[i].kept == (got[i].component_id == i) for i in ids)
+    truth = brute_components(ids, lambda a, b: link[ids.index(a), ids.index(b)])
+    for c in {r.component_id for i, r in got.items() if i in truth}:  # never more than is linked, and nearly always all of it
+        assert len({truth[i] for i in ids if got[i].component_id == c}) == 1
+    assert sum(got[i].component_id == truth[i] for i in ids) >= 0.98 * len(ids) and len(set(truth.values())) < len(ids)
+
+
+def test_tables_for_many_vectors():
+    for n in (10, 10**5, 10**7, 10**9, 10**12):
+        masks, limit = embeddings.plan(n, 64, 0.98)
+        width = min(int(m).bit_count() for m in masks)
+        assert width >= 10 and n / 2**width <= 64 and 8 <= limit <= 14
+        differ = math.acos(0.98) / math.pi
+        assert (1 - (1 - differ) ** width) ** len(masks) <= 0.02
+    assert len(embeddings.plan(10**5, 64, 0.98)[0]) < len(embeddings.plan(10**9, 64, 0.98)[0]) < 30
+    masks, limit = embeddings.plan(10**6, 3, 0.98)
+    assert len(masks) >= 1 and limit <= 3
+
+
+@pytest.mark.parametrize("as_if", [None, 10**7])
+def test_recall_of_pairs_at_the_border(spark, monkeypatch, as_if):
+    """1500 pairs at cosines of 0.98 to 0.985 among others, against brute force; also with the tables for many more."""
+    if as_if:
+        plan = embeddings.plan
+        monkeypatch.setattr(embeddings, "plan", lambda n, *a: plan(as_if, *a))
+    rng = np.random.default_rng(7)
+    a = rng.normal(size=(1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.9801, 0.985, (1500, 1))
+    x = np.concatenate((a, c * a + np.sqrt(1 - c * c) * side))
+    df = spark.createDataFrame([(k, r.tolist(), 1, "x") for k, r in enumerate(x)], "vec_id long, embedding array<double>, label int, v string")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
+    found = np.mean([got[k + 1500].component_id == k and got[k].n_links == 1 for k in range(1500)])
+    assert found >= 0.95 and sum(r.n_links for r in got.values()) <= 3000
 
 
 def test_embeddings_empty(spark):

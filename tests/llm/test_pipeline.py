@@ -45,8 +45,8 @@ def test_stages_brute_force(spark, tmp_path, monkeypatch):
     accepted = {r.doc_id for r in scores if r.score >= 0.3}
     assert whole(kept) == whole(r for r in start if r.doc_id in accepted) and 0 < len(kept) < len(start)
 
-    prints = {r.doc_id: brute_fingerprint(r.text) for r in kept if r.doc_id is not None}
-    group = brute_components(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
+    prints = {r.doc_id: brute_fingerprint(r.text, 5) for r in kept if r.doc_id is not None}
+    group = brute_components(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 10)
     assert whole(single) == whole(r for r in kept if r.doc_id is None or group[r.doc_id] == r.doc_id) and len(single) < len(kept)
 
     gone = brute_removed([(r.doc_id, r.text) for r in single if r.doc_id is not None])
@@ -63,3 +63,30 @@ def test_stages_brute_force(spark, tmp_path, monkeypatch):
     # each stage had something to do
     assert len(cut) == len(single) and whole(cut) != whole(single) and len(clean) < len(cut)
     assert any(r.doc_id is None for r in clean) == (None in accepted)
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    """No rows; and nulls, repeated rows, a very long text and columns called like the stages' own."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    some = docs.orderBy("doc_id").limit(20)
+    rows = [(None, None, None, None, None), (10**6, "", "en", "s", 0), (10**6, "", "en", "s", 0), (10**6 + 1, None, "en", "s", 0), (10**6 + 2, "long words " * 100_000, "en", "s", 1)]
+    extra = ("_score", "_good", "_row", "_id", "n_words", "kept_text", "spans", "ids", "decoded", "component_id", "fp", "score", "item_id")
+    odd = some.unionByName(spark.createDataFrame(rows, docs.schema)).withColumns({c: F.lit(c) for c in extra})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, str(tmp_path))
+        assert got.columns == odd.columns and got.schema["n_chars"] == odd.schema["n_chars"], name
+        back = got.collect()
+        assert all(r.kept_text == "kept_text" and r.fp == "fp" for r in back)
+        ids = [r.doc_id for r in back]
+        if name in ("substrings", "decontamination"):
+            assert ids.count(10**6) == 2 and None in ids and ids.count(10**6 + 1) == 1
+        if name == "substrings":
+            assert len(back) == odd.count()
+        if name == "near_duplicates":
+            assert ids.count(10**6) == 2 and 10**6 + 1 not in ids and None in ids
+    last = corpus_pipeline.STAGES[-1][1](spark, odd, str(tmp_path)).collect()
+    assert len(last) == odd.count() and all(r.round_trip for r in last) and {r.n_tokens for r in last if r.doc_id == 10**6 + 1} == {0}

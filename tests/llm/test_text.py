@@ -178,14 +178,30 @@ def test_wand_finds_what_exhaustive_scoring_finds():
     docs = [decontaminate.split_words(" ".join(word() for _ in range(300)) + " " + items[k][1]) for k in range(10)]
     terms = np.array([ix.terms.get(w, -1) for d in docs for w in d])
     got = {(int(d), int(p)) for d, p, _ in ix.search(terms, np.repeat(np.arange(10), [len(d) for d in docs]), 128, 0.5)}
-    every = ix.by_block.reshape(len(ix.terms) + 1, -1)
-    want = set()
+    every = np.zeros(((len(ix.terms) + 1) * ix.blocks, ix.block))
+    every[ix.keys] = ix.cells[:-1]
+    every = every.reshape(len(ix.terms) + 1, -1)
+    scores = {}
     for k, d in enumerate(docs):
         for s in range(0, len(d), 64):
             own = sorted({ix.terms[w] for w in d[s : s + 128] if w in ix.terms})
-            if s + 64 < len(d) or len(d) <= 64:
-                want |= {(k, int(ix.place[j])) for j in np.flatnonzero(every[own].sum(axis=0)[: len(ix.place)] >= 0.5)}
-    assert want <= got
+            for j, x in enumerate(every[own].sum(axis=0)[: len(ix.place)]):
+                key = (k, int(ix.place[j]))
+                scores[key] = max(scores.get(key, 0), x)
+    assert {k for k, x in scores.items() if x >= 0.501} <= got <= {k for k, x in scores.items() if x >= 0.499} and len(got) >= 10
+
+
+def test_pivots_pass_over_blocks():
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(20)) + " common words") for k in range(400)]
+    ix = decontaminate.Index(items, segment=64, block=8)
+    terms = np.array([[ix.terms[w] for w in decontaminate.split_words(items[k][1])] for k in (3, 250)])
+    p, b = ix.pivots(terms, np.ones(terms.shape, bool), 0.5)
+    assert sorted(p.tolist()) == [0, 1] and [int(ix.place[k * 8 : k * 8 + 8].min() <= i) for k, i in zip(b[np.argsort(p)], (3, 250), strict=True)] == [1, 1]
+    steps = []
+    block = ix._block
+    ix._block = lambda at, term: steps.append(1) or block(at, term)
+    ix.pivots(terms, np.ones(terms.shape, bool), 0.5)
+    assert len(steps) <= 6  # of 50 blocks that hold the common words
 
 
 def test_decontamination_needs_question_and_answer(spark):

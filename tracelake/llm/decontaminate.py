@@ -1,12 +1,15 @@
 """Benchmark decontamination: a BM25 index of the test items, searched with every passage of the corpus.
 
 Items are indexed as segments; impacts are divided by a segment's own score, so that a passage scores between
-0 and 1: the share of the segment's BM25 weight that it holds. Search is block-max WAND with a fixed
-threshold, in batches of passages: a passage stays only if the sum of its terms' largest impacts reaches the
-threshold, a block of segments only if the sum of its block maxima does, and only then are segments scored.
-The bounds of all blocks that hold any of a passage's terms are summed; nothing pivots.
-No bound ever lies below the score, so all segments at the threshold are found. What is found is verified on
-the document's words: five-word shingles of the item's question and of its answer, or of the whole item.
+0 and 1: the share of the segment's BM25 weight that it holds. A term's postings are the blocks of segments
+that have it, each with the largest impact in it. Search is block-max WAND with a fixed threshold: a passage's
+terms each have a cursor; in the order of their blocks the terms' largest impacts are added up, and where the
+sum reaches the threshold stands the pivot. Cursors behind it jump to it; if the block maxima of the terms
+that stand there reach the threshold too, the block's segments are scored, and the cursors go on. Many
+passages take these steps together, as rows of arrays; those that can't reach the threshold with all their
+terms never start. No bound ever lies below the score, so all segments at the threshold are found. What is
+found is verified on the document's words: five-word shingles of the item's question and of its answer, or of
+the whole item.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from tracelake.llm.common import small_batches
 #: Word characters: ASCII letters (case doesn't count) and digits, and all beyond ASCII.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 SHINGLE = 5
-#: Fixed value: postings and block bounds that are looked at together; a passage with more is looked at alone.
-CELLS = 1 << 21
+#: Fixed value: cursors that are moved together; a passage with more is searched alone.
+CELLS = 1 << 18
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -93,12 +96,40 @@ class Index:
         self.heads = np.searchsorted(self.keys, np.arange(len(self.terms) + 1) * self.blocks)
         self.top = np.maximum.reduceat(self.peak, self.heads[:-1]) if n else np.zeros(1, np.float32)
 
-    @property
-    def by_block(self) -> np.ndarray:
-        """The dense form, terms x blocks x segments, to compare with; its last row is of words of no item."""
-        dense = np.zeros(((len(self.terms) + 1) * self.blocks, self.block), np.float32)
-        dense[self.keys] = self.cells[:-1]
-        return dense.reshape(len(self.terms) + 1, self.blocks, self.block)
+    def _block(self, at: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """The block that each term's cursor stands at; one past the last for cursors at their end."""
+        out = np.full(at.shape, self.blocks, np.int64)
+        ok = at < self.heads[term + 1]
+        out[ok] = self.keys[at[ok]] - term[ok] * self.blocks
+        return out
+
+    def pivots(self, term: np.ndarray, owned: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, block) pairs whose block maxima reach the threshold. term: a row of distinct terms a passage, where ``owned``."""
+        who = np.arange(len(term))
+        term = np.where(owned, term, 0)
+        at = np.where(owned, self.heads[term], self.heads[term + 1])
+        most = np.where(owned, self.top[term], 0).astype(np.float64)
+        found = []
+        while len(who):
+            now = self._block(at, term)
+            order = np.argsort(now, axis=1, kind="stable")
+            reach = np.cumsum(np.take_along_axis(most, order, axis=1), axis=1) >= threshold
+            first = np.argmax(reach, axis=1)
+            pivot = np.take_along_axis(now, np.take_along_axis(order, first[:, None], axis=1), axis=1)[:, 0]
+            go = reach.any(axis=1) & (pivot < self.blocks)
+            who, term, at, most, now, pivot = who[go], term[go], at[go], most[go], now[go], pivot[go]
+            behind = now < pivot[:, None]
+            at[behind] = np.searchsorted(self.keys, term[behind] * self.blocks + np.broadcast_to(pivot[:, None], now.shape)[behind])
+            now[behind] = self._block(at[behind], term[behind])
+            here = now == pivot[:, None]
+            bound = np.where(here, self.peak[np.minimum(at, len(self.keys))], 0).sum(axis=1, dtype=np.float64)
+            hit = bound >= threshold - 2e-4
+            found.append((who[hit], pivot[hit]))
+            at[here] += 1
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        p, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        return p, b
 
     def search(self, terms: np.ndarray, doc: np.ndarray, passage: int, threshold: float) -> np.ndarray:
         """(document, item's place, score) rows for the terms of several documents, one after another.
@@ -134,21 +165,17 @@ class Index:
         owner = doc[np.searchsorted(slot, where[starts])]
         ends = np.append(starts[1:], len(where))
         out = []
-        some = self.heads[term + 1] - self.heads[term]  # blocks of each term
-        upto = np.append(0, np.cumsum(some))[np.append(starts, len(where))]
         s = 0
-        while s < len(starts):  # as many passages as fit into a bounded number of postings and bounds
-            e = min(s + max(1, min(4096, CELLS // self.blocks)), max(s + 1, int(np.searchsorted(upto, upto[s] + CELLS, "right")) - 1), len(starts))
-            a, z = starts[s], ends[e - 1]
-            cnt = some[a:z]
-            own = np.repeat(self.heads[term[a:z]] - (np.cumsum(cnt) - cnt), cnt) + np.arange(cnt.sum())
-            passages = np.repeat(np.arange(e - s), ends[s:e] - starts[s:e])
-            cell = np.repeat(passages * self.blocks - term[a:z] * self.blocks, cnt) + self.keys[own]
-            bounds = np.bincount(cell, self.peak[own], (e - s) * self.blocks)
-            p, blk = np.divmod(np.flatnonzero(bounds >= threshold - 2e-4), self.blocks)
-            num = (ends - starts)[s + p]
+        while s < len(starts):  # as many passages as fit into a bounded number of cursors
+            e = min(len(starts), s + max(1, CELLS // passage))
+            num = ends[s:e] - starts[s:e]
+            place = np.arange(num.max())
+            owned = place < num[:, None]
+            rows = np.where(owned, term[np.minimum(starts[s:e, None] + place, len(term) - 1)], 0)
+            p, blk = self.pivots(rows, owned, threshold - 2e-4)
             for x in range(0, len(p), 8192):  # the terms of each surviving passage and block
-                pp, bb, nn = p[x : x + 8192], blk[x : x + 8192], num[x : x + 8192]
+                pp, bb = p[x : x + 8192], blk[x : x + 8192]
+                nn = num[pp]
                 heads = np.cumsum(nn) - nn
                 at = np.repeat(starts[s + pp] - heads, nn) + np.arange(nn.sum())
                 key = term[at] * self.blocks + np.repeat(bb, nn)
@@ -161,15 +188,17 @@ class Index:
         return np.concatenate(out) if out else none
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", passage: int = 128, threshold: float = 0.5, overlap: float = 0.8, shard: int = 2000, words: int = 500_000, block: int = 8) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", passage: int = 128, threshold: float = 0.5, overlap: float = 0.8, shard: int = 50_000, words: int = 1_000_000, block: int = 8) -> DataFrame:
     """(id_col, item_col, score, question_overlap, answer_overlap): documents that hold a test item.
 
     The best passage score of each document and item with at least ``threshold``, where the document holds
     at least ``overlap`` of the five-word shingles of both the item's question and its answer, or of the whole
     item: a short answer has so few shingles that one changed word would decide. Benchmarks of
     any size are indexed at most ``shard`` items (on average, if there are more) and ``words`` words at a time,
-    but at least one item; each index is a broadcast and is searched with all documents. Null, empty and wordless texts and items match nothing; repeated documents and items
-    each give their rows once; ids that are null are dropped; an empty side gives no rows.
+    but at least one item; each index is a broadcast, of some hundred bytes a word at most, and is searched
+    with all documents. Null, empty and wordless texts and items match nothing; items of fewer than five words
+    match where their words stand in a row; repeated documents and items each give their rows once; ids that
+    are null are dropped; an empty side gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)

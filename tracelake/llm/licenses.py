@@ -5,9 +5,9 @@ to their words. A match is a run of ``span`` words that holds enough of a templa
 ``span + stride - 1`` words every ``stride`` words holds any run whole. From the window's and the template's
 numbers of shingles follows the least Jaccard similarity of a window with a match, and from it the number of
 bands of one row, each with a hash of its own, for which it collides with probability ``1 - miss``. Windows
-of all classes are cut in one pass, and of those that collide each run is compared. Only documents that could
-match are cut: the shingles a match must hold can't all avoid a template's anchor words, so texts without any
-such word are passed over without loss.
+of all classes are cut in one pass, and of those that collide each run is compared. Only what could match is
+hashed: the shingles a match must hold can't all avoid a template's anchor words, so texts and windows without
+any such word are passed over without loss.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.functions.json import let
+from tracelake.llm.common import stored
+
 SHINGLE = 5
 #: Public license notices, as their publishers word them.
 TEMPLATES = {
@@ -88,6 +91,7 @@ def classes(templates: dict[str, str], containment: float, miss: float = 1e-6) -
         c["similar"] = min(c["similar"], held / (inside + n - held))
     for c in out.values():
         c["bands"] = math.ceil(math.log(miss) / math.log(1 - c["similar"])) if c["similar"] < 1 else 1
+        c["anchors"] = anchors({n: templates[n] for n in c["names"]}, containment)
     return [out[k] for k in sorted(out)]
 
 
@@ -106,7 +110,7 @@ def anchors(templates: dict[str, str], containment: float) -> list[str]:
                 found.add(w)
             if len(covered) > may_lack:
                 break
-    return sorted(w for w in found if not any(o != w and o in w for o in found))  # a word inside another tells for both
+    return sorted(found)
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, containment: float = 0.8, most_broadcast: int = 10_000) -> DataFrame:
@@ -123,19 +127,30 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
     found = classes(templates, containment)
     spark = docs.sparkSession
     rows = F.array(*(F.struct(F.lit(k).alias("class"), F.lit(n).alias("license"), F.lit(templates[n]).alias("text")) for k, c in enumerate(found) for n in c["names"]))
-    catalogue = spark.range(1).select(F.explode(rows).alias("t")).select("t.*").withColumn("own", F.array_distinct(shingle_hashes(words(F.col("text")))))
+    catalogue = spark.range(1).select(F.explode(rows).alias("t")).select("t.*").withColumn("ws", words(F.col("text"))).withColumn("own", F.array_distinct(shingle_hashes(F.col("ws")))).drop("text", "ws")
     some = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    low = F.lower("text")
-    some = some.where(functools.reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in anchors(templates, containment))))
-    some = some.withColumn("hs", shingle_hashes(words(F.col("text")))).select("id", "hs").where(F.size("hs") > 0)
-    # windows of all classes at once; a band's smallest value is its key
-    starts = lambda c: F.sequence(F.lit(0), F.greatest(F.size("hs") - 1, F.lit(0)), F.lit(c["stride"]))
-    window = lambda k, c: F.transform(starts(c), lambda at: F.struct(F.lit(k).alias("class"), F.lit(c["bands"]).alias("bands"), F.slice("hs", at + 1, c["span"] + c["stride"] - SHINGLE).alias("win")))
-    wins = some.select("id", F.explode(F.concat(*(window(k, c) for k, c in enumerate(found)))).alias("w")).select("id", "w.*")
-    minima = lambda arr, bands: F.transform(F.sequence(F.lit(0), bands - 1), lambda k: F.array_min(F.transform(arr, lambda h: F.xxhash64(h, k))))
+    # the classes whose anchors a text shows somewhere; windows and bands then are numbers that are exploded, and
+    # arrays are computed after, as Spark writes what it explodes a second time into a filter
+    shown = lambda low, c: functools.reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in c["anchors"]))
+    kind = lambda k, c: F.struct(*(F.lit(v).alias(n) for n, v in (("class", k), ("stride", c["stride"]), ("inside", c["span"] + c["stride"] - SHINGLE), ("bands", c["bands"]))), F.array(*map(F.lit, c["anchors"])).alias("anchors"))
+    kinds = let(F.lower("text"), lambda low: F.array_compact(F.array(*(F.when(shown(low, c), kind(k, c)) for k, c in enumerate(found)))))
+    # written down, or Spark would split every text for the filters that it infers from what follows
+    some = stored(some.withColumn("kinds", kinds).where(F.size("kinds") > 0), "candidates")
+    # words are a column of their own: written into the shingles' expression they would be split for each shingle
+    some = some.withColumn("ws", words(F.col("text"))).select("id", "kinds", "ws").where(F.size("ws") >= SHINGLE)
+    wins = some.withColumn("hs", shingle_hashes(F.col("ws"))).select("id", "ws", "hs", F.explode("kinds").alias("c"))
+    wins = wins.select("id", "ws", "hs", "c", F.explode(F.sequence(F.lit(0), F.greatest(F.size("hs") - 1, F.lit(0)), F.col("c.stride"))).alias("at"))
+    wins = wins.where(F.arrays_overlap(F.slice("ws", F.col("at") + 1, F.col("c.inside") + SHINGLE - 1), F.col("c.anchors")))
+    wins = wins.select("id", "c.class", "c.bands", F.slice("hs", F.col("at") + 1, F.col("c.inside")).alias("win"))
+
+    def banded(df: DataFrame, column: str) -> DataFrame:
+        """A row for each band, with the smallest of the column's hashes by the band's own hash."""
+        rows = df.select("*", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)).alias("band"))
+        return rows.withColumn("key", F.coalesce(F.array_min(F.transform(column, lambda h: F.xxhash64(h, F.col("band")))), F.lit(0)))  # never null, so that no filter computes it too
+
     bands = functools.reduce(lambda col, kc: F.when(F.col("class") == kc[0], kc[1]["bands"]).otherwise(col), enumerate(found), F.lit(1))
-    keys = catalogue.withColumn("bands", bands).select("class", "license", F.posexplode(minima(F.col("own"), F.col("bands"))).alias("band", "key"))
-    met = wins.select("id", "class", "win", F.posexplode(minima(F.col("win"), F.col("bands"))).alias("band", "key")).join(few(keys), ["class", "band", "key"])
+    keys = banded(catalogue.withColumn("bands", bands), "own").select("class", "license", "band", "key")
+    met = banded(wins, "win").join(few(keys), ["class", "band", "key"])
     met = met.select("id", "license", "win").distinct().join(few(catalogue.select("license", "class", "own")), "license")
     runs = functools.reduce(lambda col, kc: F.when(F.col("class") == kc[0], _best(kc[1]["span"], kc[1]["stride"])).otherwise(col), enumerate(found), F.lit(0))
     met = met.withColumn("share", runs / F.size("own")).where(F.col("share") >= containment)

@@ -36,11 +36,13 @@ def _op5() -> str:
 def _op7() -> str:
     grams = "list_distinct(list_transform(range(1, greatest(len({0}) - 3, 2)), lambda i: array_to_string({0}[i:i+4], ' ')))"
     return f"""WITH b AS (SELECT item_id, {_PLAIN.format('text')} AS w FROM benchmark WHERE text IS NOT NULL),
-      c AS (SELECT item_id, CASE WHEN len(w) >= 10 THEN w[:len(w) - greatest(5, len(w) // 4)] ELSE w END AS q, CASE WHEN len(w) >= 10 THEN w[len(w) - greatest(5, len(w) // 4) + 1:] ELSE w END AS a FROM b WHERE len(w) >= 5),
-      s AS (SELECT item_id, 'q' AS side, len({grams.format('q')}) AS n, unnest({grams.format('q')}) AS g FROM c UNION ALL SELECT item_id, 'a', len({grams.format('a')}), unnest({grams.format('a')}) FROM c),
-      d AS (SELECT doc_id, {_PLAIN.format('text')} AS w FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, unnest({grams.format('w')}) AS g FROM d),
-      o AS (SELECT doc_id, item_id, count(*) FILTER (side = 'q') / max(n) FILTER (side = 'q') AS question_overlap, count(*) FILTER (side = 'a') / max(n) FILTER (side = 'a') AS answer_overlap FROM p JOIN s USING (g) GROUP BY ALL)
-      SELECT * FROM o WHERE question_overlap >= 0.8 AND answer_overlap >= 0.8"""
+      c AS (SELECT item_id, w, CASE WHEN len(w) >= 10 THEN w[:len(w) - greatest(5, len(w) // 4)] ELSE w END AS q, CASE WHEN len(w) >= 10 THEN w[len(w) - greatest(5, len(w) // 4) + 1:] ELSE w END AS a FROM b WHERE len(w) >= 5),
+      s AS (SELECT item_id, 'q' AS side, len({grams.format('q')}) AS n, unnest({grams.format('q')}) AS g FROM c UNION ALL SELECT item_id, 'a', len({grams.format('a')}), unnest({grams.format('a')}) FROM c UNION ALL SELECT item_id, 'w', len({grams.format('w')}), unnest({grams.format('w')}) FROM c),
+      d AS (SELECT doc_id, {_PLAIN.format('text')} AS w FROM documents WHERE text IS NOT NULL), p AS (SELECT DISTINCT doc_id, unnest({grams.format('w')}) AS g FROM d),
+      k AS (SELECT doc_id, item_id, side, count(*) / max(n) AS o FROM p JOIN s USING (g) GROUP BY ALL),
+      o AS (SELECT doc_id, item_id, coalesce(max(o) FILTER (side = 'q'), 0) AS question_overlap, coalesce(max(o) FILTER (side = 'a'), 0) AS answer_overlap, max(o) FILTER (side = 'w') AS whole FROM k GROUP BY ALL)
+      SELECT doc_id, item_id, question_overlap, answer_overlap FROM o WHERE least(question_overlap, answer_overlap) >= 0.8 OR whole >= 0.8
+      UNION ALL SELECT DISTINCT doc_id, item_id, 1.0, 1.0 FROM d JOIN (SELECT item_id, w AS v FROM b WHERE len(w) BETWEEN 1 AND 4) ON contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(v, ' ') || ' ')"""
 
 
 def _op9() -> str:
