@@ -48,6 +48,8 @@ def test_scan_all_passes(spark, home):
     texts = lambda: [r.content for r in store.visible().orderBy("offset").collect()]
     rows, summary = go()
     assert [(r["kind"], r["mode"], r["appended"]) for r in rows] == [("store_write", "append", 2)] and texts() == ["one", "two"]
+    size = log.stat().st_size
+    assert summary["providers"] == {"claude_code": {"sources": 1, "errors": 0, "items_examined": 2, "items_skipped": 0, "bytes_read": size, "pending_tail_bytes": 0, "rollbacks": 0}}
     assert go()[0] == []
     with log.open("a") as f:
         f.write(line("three") + '{"half')

@@ -14,8 +14,9 @@ from tracelake.operators import parity, parse, views
 from tracelake.operators.attribution import attribute
 from tracelake.operators.store import Conflict, Store
 from tracelake.plans.commit_plan import plan
+from tracelake.plans.deadline import Deadline
 from tracelake.schema import EVENT, LINE, SOURCE, STATE, TABLES
-from tracelake.sources import catalog, discovery, growing_log, snapshots
+from tracelake.sources import catalog, discovery, growing_log, snapshots, wsl
 from tracelake.streaming import feed, ingest
 
 
@@ -447,6 +448,33 @@ def test_what_cannot_be_asked_is_not_absent(tmp_path, monkeypatch):
     assert got["failed"] == ["/anchor"] and got["first_failure"] == "/anchor: PermissionError"
 
 
+def test_what_the_tools_of_wsl_print():
+    both = "Ubuntu-22.04\r\nDebian\r\n\r\nUbuntu-22.04\r\n"
+    for raw in (both.encode("utf-16-le"), b"\xff\xfe" + both.encode("utf-16-le"), b"Ubuntu-22.04\nDeb\0ian\n."[:-1]):
+        assert wsl.distros(raw) == ["Ubuntu-22.04", "Debian"]
+    assert wsl.decoded(b"\0\0\0") is None and wsl.decoded(b"\x00\xd8") is None
+    assert wsl.default_distro(["docker-desktop", "Ubuntu"]) == "Ubuntu" and wsl.default_distro(["Ubuntu", "Debian"]) is None and wsl.default_distro([]) is None
+    assert wsl.nul_paths(b"/a/b\0\0 /c \0") == ["/a/b", "/c"]
+    assert [d for d in ("C:", "d:\\", "e:/", "C", "CC:", "/dev/sda", "C:\\x") if wsl.is_drive_device(d)] == ["C:", "d:\\", "e:/"]
+    assert wsl.drive_mounts("C:\\ /mnt/c 9p rw\n/dev/sdb / ext4\nD: /mnt/c/deep 9p\n") == [("/mnt/c/deep", "D:\\"), ("/mnt/c", "C:\\")]
+    assert wsl.escaped('a"b$c`d\\e') == 'a\\"b\\$c\\`d\\\\e'
+
+
+def test_snapshots_of_places_that_answer_no_question_stay(spark):
+    schema = "source_location string, source_path string"
+    latest = spark.createDataFrame([("wsl:A", "/1"), ("wsl:A", "/2"), ("wsl:B", "/1"), ("local", "/1")], schema)
+    asked = spark.createDataFrame([("wsl:A", True), ("wsl:B", False)], "source_location string, answered boolean")
+    got = views.present_snapshots(latest, asked, spark.createDataFrame([("wsl:A", "/2"), ("wsl:B", "/9")], schema))
+    assert {tuple(r) for r in got.collect()} == {("wsl:A", "/2"), ("wsl:B", "/1"), ("local", "/1")}
+
+
+def test_a_deadline_leaves_nothing_to_begin():
+    d = Deadline(10.0)
+    assert d.remaining(4.0) == 6.0 and d.budget(2.0, 4.0) == 2.0 and d.budget(9.0, 4.0) == 6.0
+    assert d.remaining(10.0) is None and d.budget(1.0, 11.0) is None and d.expired() and not Deadline.unbounded().expired()
+    assert discovery.discover_roots(["/a", "/b"], deadline=Deadline.after(0)) == {"roots": [], "without_root": [], "failed": ["/a", "/b"], "first_failure": "/a: out of time"}
+
+
 @pytest.mark.parametrize("mark", [".hg", "CLAUDE.md", "AGENTS.md", "go.mod"])
 def test_markers_of_roots(tmp_path, mark):
     (tmp_path / "p/sub").mkdir(parents=True)

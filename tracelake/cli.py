@@ -17,6 +17,7 @@ from tracelake.functions.paths import openable
 from tracelake.operators import parity, views
 from tracelake.operators.parse import events as parse_events
 from tracelake.operators.store import Store
+from tracelake.plans.deadline import Deadline
 from tracelake.plans.scan_all import profile_of, scan_all
 from tracelake.schema import EVENT, LINE, SOURCE
 from tracelake.sources import discovery, identities, parity_inputs, snapshots
@@ -186,12 +187,12 @@ def roots(a, spark, emit) -> int:
     return 0
 
 
-def _discover_roots(store: Store, emit: Emit, *, again_ms: int = 7 * 24 * 3600 * 1000) -> None:
+def _discover_roots(store: Store, emit: Emit, *, again_ms: int = 7 * 24 * 3600 * 1000, seconds: float = 60) -> None:
     """Register the roots above the directories that events name; those looked for in vain within a week are passed over."""
     now = int(time.time() * 1000)
     fresh = store.table("project_root_probe").where((F.col("outcome") == "none") & (F.col("last_probe_ms") > now - again_ms)).select(F.col("path").alias("project_root"))
     asked = [r["project_root"] for r in views.distinct_roots(store.table("raw_events")).join(fresh, "project_root", "left_anti").collect()]  # a row a project
-    found = discovery.discover_roots(asked)
+    found = discovery.discover_roots(asked, deadline=Deadline.after(seconds))
     if found["roots"]:
         store.register_roots(store.spark.createDataFrame(found["roots"], "root_path string, root_source string"), now_ms=now)
     misses = [(p, "none", now) for p in found["without_root"]] + [(p, "unreachable", now) for p in found["failed"]]

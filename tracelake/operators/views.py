@@ -88,6 +88,17 @@ def active_snapshots(latest: DataFrame, probes: DataFrame) -> DataFrame:
     return latest.join(probes.select("source_path", "status"), "source_path", "left").where("coalesce(status, 'unknown') in ('file', 'unknown')").drop("status")
 
 
+def present_snapshots(latest: DataFrame, asked: DataFrame, found: DataFrame) -> DataFrame:
+    """Snapshots whose files a location's own listing holds. A location whose question failed, or that wasn't asked, keeps all.
+
+    asked: source_location, answered. found: source_location, source_path.
+    """
+    told = asked.groupBy("source_location").agg(F.bool_and("answered").alias("_told"))
+    there = found.select("source_location", "source_path", F.lit(True).alias("_there")).distinct()
+    own = latest.join(told, "source_location", "left").join(there, ["source_location", "source_path"], "left")
+    return own.where(~F.coalesce("_told", F.lit(False)) | F.coalesce("_there", F.lit(False))).select(latest.columns)
+
+
 def changes(log: DataFrame, since: int = 0, limit: int = 1000) -> DataFrame:
     return log.where(F.col("seq") > since).orderBy("seq").limit(limit)
 

@@ -85,6 +85,18 @@ def _lines(spark: SparkSession, sources: DataFrame) -> DataFrame:
     return read.join(sources.select(*SOURCE, "end"), "source_path").where("control is null and byte_start < end").select(*LINE.names)
 
 
+def _counters(decided: list[dict], cursors: dict) -> dict[str, dict[str, int]]:
+    """What was looked at, by provider: sources, errors, lines and bad ones, bytes, bytes of half lines, rollbacks."""
+    out: dict[str, dict[str, int]] = {}
+    for d in decided:
+        cursor = cursors[d["source_path"]] or {"size": d["end"], "safe_offset": d["end"]}
+        seen = {"sources": 1, "errors": int(d["plan_quality"] != "clean"), "items_examined": d["new_lines"], "items_skipped": d["bad"], "bytes_read": d["end"] - d["start"], "pending_tail_bytes": cursor["size"] - cursor["safe_offset"], "rollbacks": int(d["rolled"])}
+        own = out.setdefault(d["source_type"], dict.fromkeys(seen, 0))
+        for k, v in seen.items():
+            own[k] += v
+    return out
+
+
 def _commit(store: Store, go: DataFrame, registry: DataFrame, now_ms: int | None, options: dict) -> list:
     """Commit planned sources; statistics, a row each. One that goes on without a fitting state is read from its start."""
     with store.staging() as stage:
@@ -118,7 +130,7 @@ def scan_all(spark: SparkSession, store: Store, sources: DataFrame, state_path:
             state[row["source_path"]]["cursor"] = cursors[row["source_path"]]
     todo = [r for r in looks if r["quality"] != "unchanged" or r["full_reason"]]
     rows = [{"kind": "source_report", "source_path": r["source_path"], "status": "ok", "warnings": [f"source_mode {r['source_mode']} not implemented"]} for r in other]
-    summary = {"kind": "summary", "sources": len(listed), "written_events": 0, "write_failures": 0, "held_sources": 0, "snapshot_sources": len(listed) - len(logs) - len(other), "roots_empty": registry.isEmpty(), "state_warning": warning, "state_saved": None}
+    summary = {"kind": "summary", "sources": len(listed), "written_events": 0, "write_failures": 0, "held_sources": 0, "snapshot_sources": len(listed) - len(logs) - len(other), "roots_empty": registry.isEmpty(), "providers": {}, "state_warning": warning, "state_saved": None}
     code = 0
     if todo:
         base = spark.createDataFrame([tuple(r.values()) for r in todo], _LOOK)
@@ -139,6 +151,7 @@ def scan_all(spark: SparkSession, store: Store, sources: DataFrame, state_path:
         planned = spark.createDataFrame([tuple(d.values()) for d in decided], planned.schema)
         go = planned.where("plan_store <> 'preserve'")
         held = [d for d in decided if d["plan_store"] == "preserve"]
+        summary["providers"] = _counters(decided, cursors)
         rows += [{"kind": "store_held", "source_path": d["source_path"], "quality": d["plan_quality"], "recorded": d["recorded"]} for d in held]
         summary["held_sources"] = len(held)
         if len(held) < len(decided):

@@ -10,6 +10,10 @@ REVISIONS = ["source_revision", "projection_revision"]
 #: What shares a data key; without a root the root is empty.
 GROUP = [*SOURCE, "project_root"]
 
+#: The names under which kinds are stored.
+SOURCE_TYPES = ("claude_code", "codex", "cursor", "gemini", "jsonl")
+EVENT_TYPES = ("message", "thinking", "tool_use", "tool_result", "usage", "config_snapshot")
+
 _KINDS = {"int": T.IntegerType, "long": T.LongType, "string": T.StringType}
 
 

@@ -12,6 +12,7 @@ from fnmatch import fnmatch
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.plans.deadline import Deadline
 from tracelake.sources.catalog import ARTIFACTS, PROJECT_FILES, config_dirs
 
 IDENTITY = "encoded string, source_location string, project_root string"
@@ -179,12 +180,19 @@ def project_root(path: str, home: str | None = None) -> tuple[str, str] | None:
     return None
 
 
-def discover_roots(paths: Iterable[str], home: str | None = None) -> dict:
-    """Roots of candidate paths, blank ones left out: roots, without_root, failed, and why the first of these failed."""
+def discover_roots(paths: Iterable[str], home: str | None = None, deadline: Deadline | None = None) -> dict:
+    """Roots of candidate paths, blank ones left out: roots, without_root, failed, and why the first of these failed.
+
+    Paths that the deadline doesn't reach have failed: they are asked again another time.
+    """
     out: dict = {"roots": [], "without_root": [], "failed": [], "first_failure": None}
     for p in dict.fromkeys(x.strip() for x in paths):
         if not p:
             continue
+        if deadline is not None and deadline.expired():
+            out["failed"].append(p)
+            out["first_failure"] = out["first_failure"] or f"{p}: out of time"
+            continue
         status, why = probe(p)
         if status == "unknown":
             out["failed"].append(p)

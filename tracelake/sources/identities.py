@@ -8,27 +8,28 @@ from pyspark.sql import functions as F
 
 from tracelake.operators.store import Store
 from tracelake.operators.views import merge_identities
+from tracelake.plans.deadline import Deadline
 from tracelake.schema import TABLES
 from tracelake.sources.discovery import git_identity
 
 COUNTERS = ["registered", "recorded", "already_probed", "no_remote", "unresolved", "skipped_out_of_budget"]
 
 
-def sweep(store: Store, *, seconds: float = 30.0, asked: set[str] | None = None, now_ms: int | None = None) -> dict[str, int]:
+def sweep(store: Store, *, seconds: float = 30.0, deadline: Deadline | None = None, asked: set[str] | None = None, now_ms: int | None = None) -> dict[str, int]:
     """Ask each registered root for its identity and record the answers in two commits; six counters.
 
     Only ``git:`` ids are stored; every answer leaves a verdict. asked: roots known from earlier sweeps of
     this process; one whose question failed is forgotten, so that it is asked again. Roots that the budget
     doesn't reach are counted, never passed over in silence.
     """
-    spark, until = store.spark, time.monotonic() + seconds
+    spark, deadline = store.spark, deadline or Deadline.after(seconds)
     now = int(time.time() * 1000) if now_ms is None else now_ms
     asked = set() if asked is None else asked
     roots = [(r.root_key, r.root_path) for r in store.table("project_root_registry").orderBy("root_key").collect()]  # a small table
     out = dict.fromkeys(COUNTERS, 0) | {"registered": len(roots)}
     found, verdicts = [], []
     for key, path in roots:
-        if time.monotonic() >= until:
+        if deadline.expired():
             out["skipped_out_of_budget"] += 1
         elif key in asked:
             out["already_probed"] += 1
