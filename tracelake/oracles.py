@@ -55,6 +55,8 @@ def oracle_sql() -> dict[str, str]:
         "read_sessions_capped": f"WITH {_CE}, specs(source_session_id,list_pos) AS (VALUES ('40',0),('8',1),('25',2),('3',3)) SELECT list_pos::BIGINT AS list_pos, source_session_id, seq, content FROM seen JOIN specs USING (source_session_id) ORDER BY list_pos, seq, \"offset\" LIMIT 10",
         "read_session": f"WITH {_CE} SELECT seq, actor, content FROM ce WHERE source_session_id='8' AND srev=1",
         "active_snapshots": f"WITH {_VE}, n AS (SELECT source_path, max(n_chars) AS n FROM ve GROUP BY ALL), l AS (SELECT source_path, max(doc_id) AS version FROM ve WHERE lang<>'fr' GROUP BY ALL) SELECT l.* FROM l JOIN n USING (source_path) WHERE n<=8000 OR (n>10000 AND n<=15000)",
+        "present_snapshots": f"WITH {_VE}, l AS (SELECT 'wsl:'||lang AS source_location, source_path, max(doc_id) AS version, max(n_chars) AS n, lang FROM ve GROUP BY ALL) SELECT source_location, source_path, version FROM l WHERE lang IN ('de','fr') OR n>5000",
+        "identity_latest": "SELECT c_nationkey::VARCHAR AS project_root, arg_max(c_mktsegment, c_custkey%97*1000000000+c_custkey) AS canonical_id, 0::BIGINT AS first_seen_ms, max(c_custkey%97) AS last_seen_ms FROM customer GROUP BY ALL",
         "claude_events": f"WITH {_CL}",
         "codex_events": f"WITH {_CX}",
         "codex_batches": f"WITH {_CX}",

@@ -16,7 +16,7 @@ from tracelake.operators.parse import carry_forward, cumulative_to_delta
 from tracelake.operators.store import Store, new_events, outcome
 from tracelake.plans.commit_plan import events_are_usable, plan, should_record
 from tracelake.schema import EVENT, REVISIONS, SOURCE, STATE, TABLES
-from tracelake.sources import snapshots
+from tracelake.sources import identities, snapshots
 from tracelake.sources.shared import scratch
 from tracelake.streaming import feed
 
@@ -103,6 +103,14 @@ def active_snapshots(spark, sf):
     return views.active_snapshots(latest, probes).select("source_path", F.col("offset").alias("version"))
 
 
+def present_snapshots(spark, sf):
+    """Snapshots of places named by language: one was not asked, one's question failed, others list their long files."""
+    own = _versions(spark, sf).withColumns({"source_location": F.concat(F.lit("wsl:"), "lang"), "event_type": F.lit("config_snapshot")})
+    asked = own.where("lang <> 'de'").select("source_location", (F.col("lang") != "fr").alias("answered")).distinct()
+    found = own.groupBy("source_location", "source_path").agg(F.max("n_chars").alias("n")).where("n > 5000")
+    return views.present_snapshots(views.latest_snapshots(own), asked, found).select("source_location", "source_path", F.col("offset").alias("version"))
+
+
 def snapshot_changes(spark, sf):
     """Files of a source and language: what the last version changes against the last short one, that is stored."""
     own = _versions(spark, sf).withColumns({"source_path": F.concat_ws("/", "source_path", "lang"), "event_type": F.lit("config_snapshot"), "content_hash": F.col("hash"), "project_root": F.lit(None).cast("string"), "artifact_kind": F.lit("memory")})
@@ -385,6 +393,11 @@ def identity_merge(spark, sf):
     return views.merge_identities(c)
 
 
+def identity_latest(spark, sf):
+    c = _t(spark, sf, "customer")
+    return identities.latest_of(c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("string").alias("project_root"), F.col("c_mktsegment").alias("canonical_id"), F.lit(0).cast("long").alias("first_seen_ms"), (F.col("c_custkey") % 97).alias("last_seen_ms")))
+
+
 def normalize_time(spark, sf):
     i = F.col("event_id")
     ahead = F.col("ts") + F.expr("interval 8 hours")
@@ -444,8 +457,8 @@ def parity_by_combo(spark, sf):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        recent_sessions, recent_sessions_since, pull_all, pull_current, pull_broken, read_sessions_capped, read_session, latest_snapshots, active_snapshots, snapshot_changes, change_feed, feed_replace, usage_delta,
+        recent_sessions, recent_sessions_since, pull_all, pull_current, pull_broken, read_sessions_capped, read_session, latest_snapshots, active_snapshots, present_snapshots, snapshot_changes, change_feed, feed_replace, usage_delta,
         claude_events, codex_events, codex_batches, event_key, event_names, dedup_insert, tombstone_visibility, head_filter, gc_candidates, reparse_outcome, apply_stats, ledger_backfill, distinct_roots, commit_plan,
-        attribute_prefix, attribution_summary, root_report, identity_merge, normalize_time, normalize_path, path_forms, remote_url, extract_text, unsigned_counts, sealed_contents, store_status, parity_by_combo,
+        attribute_prefix, attribution_summary, root_report, identity_merge, identity_latest, normalize_time, normalize_path, path_forms, remote_url, extract_text, unsigned_counts, sealed_contents, store_status, parity_by_combo,
     )
     return {f.__name__: f for f in own} | {"carry_forward": carried}

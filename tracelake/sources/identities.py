@@ -55,12 +55,15 @@ def sweep(store: Store, *, seconds: float = 30.0, deadline: Deadline | None = No
     return out
 
 
-def latest(store: Store):
+def latest_of(own):
     """The last identity of each root; of equal times the larger id."""
-    own = store.table("project_identity")
     return own.groupBy("project_root").agg(F.max_by(F.struct("canonical_id", "first_seen_ms", "last_seen_ms"), F.struct("last_seen_ms", "id")).alias("x")).select("project_root", "x.*")
 
 
+def latest(store: Store):
+    return latest_of(store.table("project_identity"))
+
+
 def history(store: Store, root_key: str):
     """All identities that a root has had, the last first."""
     return store.table("project_identity").where(F.col("project_root") == root_key).orderBy(F.desc("last_seen_ms"), F.desc("id"))
