@@ -46,7 +46,7 @@ def test_stages_brute_force(spark, tmp_path, monkeypatch):
     assert whole(kept) == whole(r for r in start if r.doc_id in accepted) and 0 < len(kept) < len(start)
 
     prints = {r.doc_id: brute_fingerprint(r.text, 5) for r in kept if r.doc_id is not None}
-    group = brute_components(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 10)
+    group = brute_components(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 8)
     assert whole(single) == whole(r for r in kept if r.doc_id is None or group[r.doc_id] == r.doc_id) and len(single) < len(kept)
 
     gone = brute_removed([(r.doc_id, r.text) for r in single if r.doc_id is not None])
