@@ -140,7 +140,7 @@ def test_snapshots_of_a_project_have_its_root(spark, home):
 
 def test_project_folders_that_cannot_be_asked(spark, home, monkeypatch):
     probe = discovery.probe
-    monkeypatch.setattr(discovery, "probe", lambda p: ("unknown", "PermissionError") if p == "/w" else probe(p))
+    monkeypatch.setattr(discovery, "probe", lambda p, *a: ("unknown", "PermissionError") if p == "/w" else probe(p, *a))
     rows = run(spark, home, "sync-snapshots")[1]
     assert rows[0] == {"kind": "sync_unreachable", "reason": f"{home}/claude/projects/-w: unreadable"} and rows[-1]["unreachable"] == 1 and rows[-1]["appended"] == 1
     assert discovery.project_identities({"claude_code": str(home / "none")}) == ([], []) and discovery.decode_project_dir("-") is None

@@ -44,8 +44,11 @@ def commit(store: Store, batch: DataFrame, registry: DataFrame, **options) -> Da
 
 def _from_start(spark: SparkSession, sources: DataFrame) -> DataFrame:
     """All lines of files up to ``end_byte``."""
-    ends = {tuple(r[c] for c in SOURCE): r["end_byte"] for r in sources.collect()}  # files whose state is gone
-    lines = spark.read.format("growing_log").option("paths", json.dumps(sorted({p for *_, p in ends}))).load()
+    names = [r["source_path"] for r in sources.select("source_path").distinct().collect()]  # of files whose state is gone
+    if not names:
+        return spark.createDataFrame([], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LINE) + ", byte_end long")
+    spark.dataSource.register(GrowingLog)
+    lines = spark.read.format("growing_log").option("paths", json.dumps(sorted(names))).load()
     return lines.join(sources.select(*SOURCE, "end_byte"), "source_path").where("byte_start < end_byte").select(*LINE.names, "byte_end")
 
 
