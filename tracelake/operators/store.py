@@ -42,7 +42,11 @@ class Conflict(RuntimeError):
 
 
 class Store:
-    """A store below ``path``, on any file system that Spark reaches. ``buckets`` is fixed by the first commit."""
+    """A store below ``path``, on any file system that Spark reaches. ``buckets`` is fixed by the first commit.
+
+    A DataFrame of the store's tables can be evaluated until the second commit after it was made, or the first
+    erase, as their folders go then.
+    """
 
     def __init__(self, spark: SparkSession, path: str, *, master_key: bytes | None = None, buckets: int = 64, most_folders: int = 16) -> None:
         if master_key is not None and len(master_key) != 32:
