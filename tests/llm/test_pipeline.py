@@ -1,10 +1,12 @@
+import subprocess
+import sys
 from collections import Counter
 
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.conftest import SMALL
+from tests.conftest import ROOT, SMALL
 from tests.llm.test_dedup import brute_components, brute_fingerprint, brute_removed
 from tracelake.llm import decontaminate, quality
 from tracelake.llm.pieces import Vocabulary
@@ -90,3 +92,33 @@ def test_stages_take_odd_tables(spark, tmp_path):
             assert ids.count(10**6) == 2 and 10**6 + 1 not in ids and None in ids
     last = corpus_pipeline.STAGES[-1][1](spark, odd, str(tmp_path)).collect()
     assert len(last) == odd.count() and all(r.round_trip for r in last) and {r.n_tokens for r in last if r.doc_id == 10**6 + 1} == {0}
+
+
+WORKERS = """
+import contextlib, os, re, sys
+from pyspark.sql import SparkSession, functions as F
+import corpus_pipeline
+
+data, folder = sys.argv[1:]
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "4").config("spark.checkpoint.dir", folder).getOrCreate()
+docs = spark.read.parquet(f"{data}/documents.parquet").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(7))))
+docs.withColumn("doc_id", F.col("doc_id") + 100_000 * F.col("n")).drop("n").repartition(4).write.parquet(f"{folder}/documents")
+for name, stage in corpus_pipeline.STAGES:
+    stage(spark, spark.read.parquet(f"{folder}/documents"), data).write.format("noop").mode("overwrite").save()
+    parent, held = {}, {}
+    for pid in filter(str.isdigit, os.listdir("/proc")):
+        with contextlib.suppress(OSError):
+            status = open(f"/proc/{pid}/status").read()
+            parent[int(pid)] = int(re.search(r"PPid:\\s+(\\d+)", status)[1])
+            held[int(pid)] = int((re.search(r"RssAnon:\\s+(\\d+)", status) or [0, 0])[1]) // 1024
+    # workers come from a daemon, which the JVM starts, which this process starts
+    print("HELD", name, *sorted(held[p] for p in held if parent.get(parent.get(parent[p])) == os.getpid()), flush=True)
+"""
+
+
+def test_idle_workers_give_memory_back(tmp_path):
+    """Python workers live as long as an executor: what stages took must not stay in them."""
+    said = subprocess.run([sys.executable, "-c", WORKERS, SMALL.replace("0.001", "0.01"), str(tmp_path)], cwd=ROOT, capture_output=True, text=True, timeout=600)
+    held = {x[1]: list(map(int, x[2:])) for x in map(str.split, said.stdout.splitlines()) if x[:1] == ["HELD"]}
+    assert len(held) == len(corpus_pipeline.STAGES) and all(held.values()), said.stderr[-2000:]
+    assert max(map(max, held.values())) < 140, held

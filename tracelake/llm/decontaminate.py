@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import small_batches
+from tracelake.llm.common import mapped, small_batches
 
 #: Word characters: ASCII letters (case doesn't count) and digits, and all beyond ASCII.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -265,7 +265,7 @@ def _search(docs, index, id_col, text_col, item_col, passage, threshold, overlap
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[id_col, item_col, "score", "question_overlap", "answer_overlap"])
 
     some = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull())
-    return some.mapInArrow(run, f"{id_col} long, {item_col} long, score double, question_overlap double, answer_overlap double")
+    return mapped(some, run, f"{id_col} long, {item_col} long, score double, question_overlap double, answer_overlap double")
 
 
 def _has(words: list[bytes], short: tuple[bytes, ...]) -> float:

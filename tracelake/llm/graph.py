@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import stored
+from tracelake.llm.common import mapped, stored
 
 
 def forest(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -58,7 +58,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     x, y = links.columns
     edges = links.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).where("a is not null and b is not null and a <> b")
-    edges = stored(edges.mapInArrow(_contract, "a long, b long").distinct(), "links")
+    edges = stored(mapped(edges, _contract, "a long, b long").distinct(), "links")
     before = _size(edges)
     if not before[0]:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))

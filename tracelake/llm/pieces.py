@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tracelake.llm.common import small_batches
+from tracelake.llm.common import mapped, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -376,7 +376,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", ids_col: str = "ids", mod
                 yield pa.record_batch([*part.columns, pa.ListArray.from_arrays(ends, pa.array(ids))], names=[*batch.schema.names, ids_col])
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def decode(docs: DataFrame, *, ids_col: str = "ids", text_col: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -399,4 +399,4 @@ def decode(docs: DataFrame, *, ids_col: str = "ids", text_col: str = "decoded",
             yield pa.record_batch([*batch.columns, pa.array([None if g else t for g, t in zip(gone, texts, strict=True)], pa.string())], names=[*batch.schema.names, text_col])
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)

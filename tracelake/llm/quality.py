@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import held_out, small_batches
+from tracelake.llm.common import held_out, mapped, small_batches
 from tracelake.llm.samples import labelled, unlabelled
 
 _CLASSES = 12
@@ -148,7 +148,7 @@ def _featured(docs: DataFrame, text_col: str) -> DataFrame:
             yield pa.record_batch([pa.array([features(t.as_py()).tobytes() for t in batch.column(0)], pa.binary())], names=["x"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "x binary")
+    return mapped(docs.select(F.col(text_col).cast("string")), run, "x binary")
 
 
 def _matrix(df: DataFrame) -> np.ndarray:
@@ -183,7 +183,7 @@ def scored(docs: DataFrame, model: dict | None, *, text_col: str = "text", thres
             yield pa.record_batch([*batch.columns, pa.array(s)], names=[*batch.schema.names, score_col])
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, schema).withColumn(label_col, (F.col(score_col) >= threshold).cast("int"))
+    return mapped(docs, run, schema).withColumn(label_col, (F.col(score_col) >= threshold).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> DataFrame:

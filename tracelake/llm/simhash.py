@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import small_batches, stored
+from tracelake.llm.common import mapped, small_batches, stored
 from tracelake.llm.graph import components, forest
 
 SEED = 42
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pa.record_batch([batch.column(0), pa.array(found)], names=[id_col, "fp"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} long, fp long")
+    return mapped(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string")), run, f"{id_col} long, fp long")
 
 
 def trie_links(values: np.ndarray, errors: int, other: np.ndarray | None = None, start: int = 0, block: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -157,7 +157,7 @@ def links(fps: DataFrame, *, errors: int = 4, chunk: int = 16384) -> DataFrame:
                 key = (turned >> np.uint64(64 - len(bits))).view(np.int64)
                 yield pa.record_batch([pa.array(np.full(len(node), k, np.int32)), pa.array(key), pa.array(node), pa.array(turned.view(np.int64))], names=["k", "key", "node", "turned"])
 
-    dealt = fps.select("node", "fp").mapInArrow(deal, "k int, key long, node long, turned long")
+    dealt = mapped(fps.select("node", "fp"), deal, "k int, key long, node long, turned long")
     hot = dealt.groupBy("k", "key").count().where(F.col("count") > chunk).select("k", "key", F.ceil(F.col("count") / chunk).cast("int").alias("s"))
     hot = stored(hot, "hot")
     if hot.isEmpty():
@@ -179,7 +179,7 @@ def links(fps: DataFrame, *, errors: int = 4, chunk: int = 16384) -> DataFrame:
             own = np.flatnonzero(label != np.arange(len(node)))
             yield pa.record_batch([pa.array(node[own]), pa.array(node[label[own]])], names=["a", "b"])
 
-    return cells.mapInArrow(join, "a long, b long")
+    return mapped(cells, join, "a long, b long")
 
 
 def _runs(batches, widths, at_least: int = 200_000):

@@ -29,22 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import mix, rolling, small_batches, stored
+from tracelake.llm.common import mapped, mix, rolling, small_batches, stored
 
 _P = np.uint64(0x100000001B3 * 0x9E3779B1 & 0xFFFFFFFFFFFFFFFF | 1)
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 _Q = np.uint64(0x9FB21C651E98DF25)
 _LONG = 64
 _NONE = np.iinfo(np.int64).max
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    if int(base) not in _powers or len(_powers[int(base)][0]) < n:
-        size = max(n, 3 << 19)
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        _powers[int(base)] = tuple(np.cumprod(np.concatenate(([np.uint64(1)], np.full(size, p, np.uint64)))) for p in (base, inverse))
-    return _powers[int(base)]
 
 
 class Words:
@@ -66,9 +57,11 @@ class Words:
     def _hashed(self, base: np.uint64, seed: int) -> np.ndarray:
         """A hash of each word, of the family of ``base``."""
         n, starts, ends = len(self._joined), self._starts, self._ends
-        up, down = _power(base, n + 1)
-        total = np.concatenate(([np.uint64(0)], np.cumsum((self._joined.astype(np.uint64) + np.uint64(7)) * up[:n])))
-        out = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        up = np.cumprod(np.concatenate(([np.uint64(1)], np.full(_LONG, base))))
+        place = np.arange(n) - np.repeat(starts, ends - starts + 1)[:n]  # in the word; a space goes with the word before it
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((self._joined + np.uint64(7)) * up[np.minimum(place, _LONG, out=place)], out=total[1:])
+        out = mix(total[ends] - total[starts] + (ends - starts).astype(np.uint64))
         for k in np.flatnonzero(ends - starts > _LONG):
             out[k] = xxhash.xxh3_64_intdigest(self._joined[starts[k] : ends[k]].tobytes(), seed)
         return out
@@ -219,7 +212,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             yield out()
 
     small_batches(docs.sparkSession)
-    packets = stored(docs.mapInArrow(pack, "packet long, chars long, body binary"), "packets")
+    packets = stored(mapped(docs, pack, "packet long, chars long, body binary"), "packets")
     total = packets.agg(F.sum("chars")).first()[0] or 0
     buckets = max(0, -(-total // bucket_chars) - 1).bit_length()  # in bits
 
@@ -232,10 +225,10 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     def exchange(sent: DataFrame, shared: bool) -> DataFrame:
         dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
-        back = dealt.mapInArrow(_answer(shared), "packet long, bucket int, bits binary")
+        back = mapped(dealt, _answer(shared), "packet long, bucket int, bits binary")
         return back.groupBy("packet").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
 
-    sent = packets.select("packet", "body").mapInArrow(seeds, "bucket int, packet long, body binary")
+    sent = mapped(packets.select("packet", "body"), seeds, "bucket int, packet long, body binary")
     seeded = stored(exchange(sent, True), "seeds")
 
     def around(ids, words, answers):
@@ -256,7 +249,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             yield from _deal(packet, *_first(hashes, own, anchors)[:3], buckets)
 
     both = packets.select("packet", "body").join(seeded, "packet", "left")
-    found = exchange(both.mapInArrow(extend, "bucket int, packet long, body binary"), False)
+    found = exchange(mapped(both, extend, "bucket int, packet long, body binary"), False)
     found = stored(found.withColumnRenamed("answers", "found"), "windows")
     shape = T.StructType([*fields, *T._parse_datatype_string("n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string")])
 
@@ -285,7 +278,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             more = [pa.array(words.counts), pa.array(removed), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())]
             yield pa.record_batch([*batch.columns, *more], names=[*batch.schema.names, "n_words", "n_removed", "spans", "kept_text"])
 
-    return both.join(found, "packet", "left").mapInArrow(cut, shape)
+    return mapped(both.join(found, "packet", "left"), cut, shape)
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
